@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
 }
 
