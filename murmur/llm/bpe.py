@@ -19,6 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sections
+from .tables import Table
+
 #: Fixed value: the public byte-level pre-tokenizer's pattern, its \s and \S written as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -35,42 +38,6 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Table:
-    """int64 keys to int values, looked up by arrays; -1 where a key is absent."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(len(keys) * 4).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):  # each round, the first claimant of every free slot settles
-            free = self.keys[slot] == -1
-            first = np.zeros(len(left), bool)
-            first[np.unique(np.where(free, slot, -1), return_index=True)[1]] = True
-            put = free & first
-            self.keys[slot[put]], self.values[slot[put]] = keys[left[put]], values[left[put]]
-            left, slot = left[~put], (slot[~put] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        held = self.keys[slot]
-        out = np.where(held == keys, self.values[slot], np.int32(-1))
-        left = np.flatnonzero((held != keys) & (held != -1))
-        slot = slot[left]
-        while len(left):
-            slot = (slot + 1) & self.mask
-            k, held = keys[left], self.keys[slot]
-            hit = held == k
-            out[left[hit]] = self.values[slot[hit]]
-            more = ~hit & (held != -1)
-            left, slot = left[more], slot[more]
-        return out
-
-
 class Bpe:
     """A byte-level BPE vocabulary of the tokenizers library's JSON form."""
 
@@ -96,7 +63,7 @@ class Bpe:
         made = np.array([text[a + b] for a, b in pairs], np.int64)
         rank = np.arange(len(pairs), dtype=np.int32)
         self.made, self.size = made, size
-        self.pairs = _Table(left * size + right, rank)
+        self.pairs = Table(left * size + right, rank)
         self.rank_of = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(left, right, strict=True))}
         # a token's own rank, -1 if no merge makes it; and its halves
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
@@ -118,7 +85,7 @@ class Bpe:
             ends[nodes[k]] = vocab[k]
         steps = [(nodes[k[:-1]] * 256 + k[-1], n) for k, n in nodes.items() if k]
         self.ends = np.array(ends, np.int32)
-        self.steps = _Table(np.array([s for s, _ in steps], np.int64), np.array([n for _, n in steps], np.int32))
+        self.steps = Table(np.array([s for s, _ in steps], np.int64), np.array([n for _, n in steps], np.int32))
         self.first = self.steps.get(np.arange(256, dtype=np.int64))
         self.step_of = dict(steps)
 
@@ -347,18 +314,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _sections(sizes: list[int], most: int) -> Iterator[slice]:
-    """Runs of rows of about `most` in size."""
-    begin = total = 0
-    for i, s in enumerate(sizes):
-        if i > begin and total + s > most:
-            yield slice(begin, i)
-            begin, total = i, 0
-        total += s
-    if begin < len(sizes):
-        yield slice(begin, len(sizes))
-
-
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) and, if asked for, decoded (string), which is
     decoded from those ids. One row per row of docs; path names the vocabulary's file, which every executor has.
@@ -372,7 +327,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             key, text = batch.column(0), batch.column(1)
             sizes = pa.compute.binary_length(text).to_pylist() if len(text) else []
-            for part in _sections(sizes, CHARS_AT_ONCE):
+            for part in sections(sizes, CHARS_AT_ONCE):
                 texts = text[part.start : part.stop].to_pylist()
                 ids = bpe.encode(texts)
                 columns = [key[part.start : part.stop], pa.array([x.tobytes() for x in ids], pa.binary())]
@@ -392,7 +347,7 @@ def decode(rows: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             key, ids = batch.column(0), batch.column(1)
             sizes = pa.compute.binary_length(ids).to_pylist() if len(ids) else []
-            for part in _sections(sizes, CHARS_AT_ONCE):
+            for part in sections(sizes, CHARS_AT_ONCE):
                 some = [np.frombuffer(x, "<u4") for x in ids[part.start : part.stop].to_pylist()]
                 yield pa.RecordBatch.from_arrays([key[part.start : part.stop], pa.array(bpe.decode(some), pa.string())], ["doc_id", "text"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,15 @@ def uniform(key: Column) -> Column:
 
 def id_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("null"))
+
+
+def sections(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of rows of about `most` in size."""
+    begin = total = 0
+    for i, s in enumerate(sizes):
+        if i > begin and total + s > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += s
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .language import op5_language
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
 }
