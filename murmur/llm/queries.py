@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .language import op5_language
+from .near_dedup import op9_near_dedup
 from .sharding import op8_sharding
 
 QUERIES = {
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 SQL: dict[str, str] = {}
