@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .audio import op2_audio
 from .bpe import op6_bpe
 from .language import op5_language
 from .near_dedup import op9_near_dedup
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op2_audio": op2_audio,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
