@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audio import op2_audio
 from .bpe import op6_bpe
+from .fingerprint import op7_fingerprints
 from .language import op5_language
 from .near_dedup import op9_near_dedup
 from .sharding import op8_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_audio": op2_audio,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
 }
