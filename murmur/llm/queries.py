@@ -8,9 +8,11 @@ from .fingerprint import op7_fingerprints
 from .language import op5_language
 from .near_dedup import op9_near_dedup
 from .sharding import op8_sharding
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op2_audio": op2_audio,
+    "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
@@ -18,4 +20,6 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_warc": OP4_SQL,
+}
