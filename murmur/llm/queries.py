@@ -7,6 +7,7 @@ from .bpe import op6_bpe
 from .fingerprint import op7_fingerprints
 from .language import op5_language
 from .near_dedup import op9_near_dedup
+from .pii import op10_pii
 from .sharding import op8_sharding
 from .warc import OP4_SQL, op4_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 SQL = {
