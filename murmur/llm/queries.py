@@ -6,6 +6,7 @@ from .audio import op2_audio
 from .bpe import op6_bpe
 from .fingerprint import op7_fingerprints
 from .language import op5_language
+from .licences import OP1_SQL, op1_licences
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op10_pii
@@ -13,6 +14,7 @@ from .sharding import op8_sharding
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_audio": op2_audio,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_licences": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op4_warc": OP4_SQL,
 }
