@@ -163,9 +163,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough. The sets are built again from the texts, only of
-    the documents in a pair."""
+def _sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and shingles (array<long>) of the documents in ids, built again from their texts, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -175,8 +174,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "shingles"])
 
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
-    sets = written(_texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
+    return written(_texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (
@@ -185,6 +187,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_c
     )
 
 
+#: Counters by which shingles are ordered from rare to common; what the driver gathers is one number for each.
+COUNTERS = 1 << 20
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, token, place: the rarest shingles of each set, so many that two sets that are similar enough share one.
+
+    Any order that all sets agree on is right; rare first makes shared ones few. Shingles are ordered by how often
+    their counter (one of COUNTERS, by hash) occurs in these sets, then by value."""
+    spark = sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["counter", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[np.asarray(counts["counter"])] = np.asarray(counts["n"])
+    shared = spark.sparkContext.broadcast(often)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens, places = [], [], []
+            for key, xs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = xs.values.to_numpy()
+                n = len(x) + (-percent * len(x)) // 100 + 1
+                tokens.append(x[np.lexsort((x, shared.value[x & (COUNTERS - 1)]))[:n]])
+                ids.append(np.full(n, key))
+                places.append(np.arange(n))
+            join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+            yield pa.RecordBatch.from_arrays([join(ids), join(tokens), join(places)], ["doc_id", "token", "place"])
+
+    return sets.mapInArrow(pick, "doc_id long, token long, place long")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -192,8 +232,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     what links reach, its id the smallest doc_id in it, and kept is the row of that id.
 
     Documents with equal sets stand as one, the one of the smallest id. In each band bucket every member is compared
-    with the smallest member and with the one before it; then, in a bucket whose members are still in several
-    components, every member outside its most frequent component is compared with all members of other components.
+    with the smallest member and with the one before it. Then, of buckets whose members are still in several
+    components, the members outside the most frequent one are held against all members of such buckets by exact
+    prefix filtering: similar sets share one of their rarest shingles, early enough in both that the rest suffices.
     So no link between components is left unseen, whatever a bucket's size, and the pairs inside a group of near
     copies are not written out.
 
@@ -219,20 +260,26 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     )
     against = lambda c: members.where(F.col(f"{c}.doc_id") != F.col("doc_id")).where(compatible(F.col("n"), F.col(f"{c}.n"))).select(F.col(f"{c}.doc_id").alias("a"), F.col("doc_id").alias("b"))
     tried = written(against("hub").union(against("prev")).distinct(), "pairs")
-    links = written(_confirmed(tried, docs, words, percent, id_col, text_col), "links")
+    ids = lambda pairs: written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
+    links = written(_confirmed(tried, _sets(ids(tried), docs, words, id_col, text_col), percent), "links")
     labels = components(links)
 
     known = members.select("band", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     counts = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
     open_bands = counts.groupBy("band").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1 and m > 2")
-    inside = written(known.join(open_bands.select("band", "main"), "band"), "open")
-    odd = inside.where("component <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    rest = inside.join(odd, "band").where((F.col("component") != F.col("x_component")) & compatible(F.col("n"), F.col("x_n")))
-    rest = rest.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    more = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        extra = written(_confirmed(more, docs, words, percent, id_col, text_col), "links")
+    inside = known.join(open_bands.select("band", "main"), "band").groupBy("doc_id").agg(
+        F.max("n").alias("n"), F.max("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("odd"))
+    inside = written(inside, "open")
+    if not inside.isEmpty():
+        sets = _sets(inside.select("doc_id"), docs, words, id_col, text_col)
+        tokens = _prefixes(sets, percent).join(inside, "doc_id").withColumn("left", F.col("n") - F.col("place"))
+        odd = tokens.where("odd").select("token", *[F.col(c).alias(f"odd_{c}") for c in ("doc_id", "n", "left", "component")])
+        enough = F.least("left", "odd_left") * (100 + percent) >= percent * (F.col("n") + F.col("odd_n"))
+        rest = tokens.join(odd, "token").where((F.col("component") != F.col("odd_component")) & compatible(F.col("n"), F.col("odd_n")) & enough)
+        rest = rest.select(F.least("odd_doc_id", "doc_id").alias("a"), F.greatest("odd_doc_id", "doc_id").alias("b")).distinct()
+        more = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+        extra = written(_confirmed(more, sets, percent), "links")
         if not extra.isEmpty():
             labels = components(links.union(extra))
 
