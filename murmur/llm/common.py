@@ -41,6 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables as by written(), all deleted on leaving: for steps whose result is complete by then."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, scratch_path(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_path(self.spark, self.path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sections, uniform, written
+from .common import Scratch, sections, uniform
 from .tables import Table
 
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -183,65 +183,79 @@ def learn(docs: DataFrame, path: str, *, per_lang: int = 1500, rounds: int = 3,
                 )
 
     counted = sample.select(F.element_at(number, F.col("lang")).alias("lang"), "text").mapInArrow(count, "lang int, word string, n long")
-    words = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    chance = np.where(usable, 1 / usable.sum(), UNKNOWN)[:, None].repeat(k, 1)
-    for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(chance)  # (pieces + 1) x languages doubles
-
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.shape)
-            for batch in batches:
-                total += expected_counts(load(path), batch.column(1).to_pylist(), np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(2)).astype(float), shared.value)
-            piece, lang = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(np.rint(total[piece, lang] * 2**20).astype(np.int64))], ["piece", "lang", "n"])
-
-        sums = words.mapInArrow(expect, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
-        got = np.zeros_like(chance)
-        got[np.asarray(sums["piece"]), np.asarray(sums["lang"])] = np.asarray(sums["n"]) / 2**20
-        shared.unpersist()
-        got = np.where(usable[:, None], got + smooth, 0)
-        chance = got / got.sum(0)
-        chance[pieces.size] = UNKNOWN
+    with Scratch(docs.sparkSession, "language") as scratch:
+        words = scratch.written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+        chance = np.where(usable, 1 / usable.sum(), UNKNOWN)[:, None].repeat(k, 1)
+        for _ in range(rounds):
+            shared = docs.sparkSession.sparkContext.broadcast(chance)  # (pieces + 1) x languages doubles
+
+            def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(shared.value.shape)
+                for batch in batches:
+                    total += expected_counts(load(path), batch.column(1).to_pylist(), np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(2)).astype(float), shared.value)
+                piece, lang = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(np.rint(total[piece, lang] * 2**20).astype(np.int64))], ["piece", "lang", "n"])
+
+            sums = words.mapInArrow(expect, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+            got = np.zeros_like(chance)
+            got[np.asarray(sums["piece"]), np.asarray(sums["lang"])] = np.asarray(sums["n"]) / 2**20
+            shared.unpersist()
+            got = np.where(usable[:, None], got + smooth, 0)
+            chance = got / got.sum(0)
+            chance[pieces.size] = UNKNOWN
     return Model(langs, chance)
 
 
-def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the carried columns, lang_pred and score for each row of docs, from its whole text alone.
+def _predict(texts: list[str | None], langs: list[str], chance: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted language and score of each text."""
+    names = np.array([*langs, "und"], dtype=object)
+    some = [words_of(t) if t and langs and HAS_LETTER.search(t) else [] for t in texts]
+    n = np.array([len(x) for x in some])
+    coded = pa.array([w for x in some for w in x], pa.string()).dictionary_encode()
+    each = word_scores(pieces, coded.dictionary.to_pylist(), chance)
+    has = np.flatnonzero(n)
+    best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
+    if len(has):
+        ends = np.cumsum(n[has])
+        log = np.add.reduceat(each[coded.indices.to_numpy()], ends - n[has], axis=0) / np.sqrt(n[has])[:, None]
+        best[has] = log.argmax(1)
+        score[has] = np.round(1 / np.exp(log - log.max(1, keepdims=True)).sum(1), 9)
+    return names[best], score
+
+
+def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score for each row of docs, from its whole text alone.
 
     score is the predicted language's share of the languages' probabilities, each to the power 1 / sqrt(words): 1 over
     their number says nothing, 1 is certain. A null text, or one without a letter, is `und` with score 0, as is every
-    text when no language was learned. Of languages that score the same, the first by name is taken.
+    text when no language was learned. Of languages that score the same, the first by name is taken. Rows that repeat
+    give equal rows; other columns are ignored; an empty table gives no rows.
     """
-    carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.chance))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *[F.col(c) for c in carry])
-    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, chance = shared.value
-        pieces = load(path)
-        names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
             for part in sections(pa.compute.binary_length(batch.column(1)).to_pylist(), CHARS_AT_ONCE):
-                texts = batch.column(1)[part.start : part.stop].to_pylist()
-                some = [words_of(t) if HAS_LETTER.search(t) else [] for t in texts] if langs else [[] for _ in texts]
-                n = np.array([len(x) for x in some])
-                coded = pa.array([w for x in some for w in x], pa.string()).dictionary_encode()
-                each = word_scores(pieces, coded.dictionary.to_pylist(), chance)
-                has = np.flatnonzero(n)
-                best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
-                if len(has):
-                    ends = np.cumsum(n[has])
-                    log = np.add.reduceat(each[coded.indices.to_numpy()], ends - n[has], axis=0) / np.sqrt(n[has])[:, None]
-                    share = np.exp(log - log.max(1, keepdims=True))
-                    best[has] = log.argmax(1)
-                    score[has] = np.round(1 / share.sum(1), 9)
+                name, score = _predict(batch.column(1)[part.start : part.stop].to_pylist(), *shared.value, load(path))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(name, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, path: str, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is identified with a score of `least` or more; those
+    that are `und` go. With at most three languages every text with a letter stays."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.chance))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sections([x or 0 for x in pa.compute.binary_length(batch.column(at)).to_pylist()], CHARS_AT_ONCE):
                 cut = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays(
-                    [cut.column(0), *cut.columns[2:], pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", *carry, "lang_pred", "score"]
-                )
+                name, score = _predict(cut.column(at).to_pylist(), *shared.value, load(path))
+                yield cut.filter(pa.array((name != "und") & (score >= least)))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def pieces_path(name: str = "piece_bpe_32k.model") -> str:

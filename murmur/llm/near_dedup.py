@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sections, written
+from .common import Scratch, sections, written
 from .components import components
 
 #: Bytes of text per chunk; bounds a worker's memory, not its results.
@@ -164,7 +164,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and shingles (array<long>) of the documents in ids, built again from their texts, as a table."""
+    """doc_id and shingles (array<long>) of the documents in ids, built again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -174,7 +174,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: st
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "shingles"])
 
-    return written(_texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>"), "near-sets")
+    return _texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,53 +242,55 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     A row with a null id links with nothing, has a null component and is kept. Rows that repeat an id are one document
     and get the same component each. Other columns are ignored; an empty table gives no rows.
     """
-    compatible = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    found = written(signatures(docs, words, id_col, text_col), "signatures")
-    sets = found.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
-    groups = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("stand"), F.max("doc_id").alias("last")).where("stand <> last")
-    copies = written(sets.select("doc_id", "set_a", "set_b").join(groups, ["set_a", "set_b"]).where("doc_id <> stand").select("doc_id", "stand"), "copies")
-    banded = sets.join(copies, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-
-    row = F.struct("doc_id", "n")
-    by_id = W.partitionBy("band").orderBy("doc_id")
-    members = written(
-        banded.select(
-            "band", "doc_id", "n", F.first(row).over(by_id).alias("hub"), F.lag(row).over(by_id).alias("prev"),
-            F.last("doc_id").over(by_id.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"),
-        ).where(F.col("hub.doc_id") != F.col("last")),
-        "members",
-    )
-    against = lambda c: members.where(F.col(f"{c}.doc_id") != F.col("doc_id")).where(compatible(F.col("n"), F.col(f"{c}.n"))).select(F.col(f"{c}.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    tried = written(against("hub").union(against("prev")).distinct(), "pairs")
-    ids = lambda pairs: written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
-    links = written(_confirmed(tried, _sets(ids(tried), docs, words, id_col, text_col), percent), "links")
-    labels = components(links)
-
-    known = members.select("band", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = known.select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    counts = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    open_bands = counts.groupBy("band").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1 and m > 2")
-    inside = known.join(open_bands.select("band", "main"), "band").groupBy("doc_id").agg(
-        F.max("n").alias("n"), F.max("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("odd"))
-    inside = written(inside, "open")
-    if not inside.isEmpty():
-        sets = _sets(inside.select("doc_id"), docs, words, id_col, text_col)
-        tokens = _prefixes(sets, percent).join(inside, "doc_id").withColumn("left", F.col("n") - F.col("place"))
-        odd = tokens.where("odd").select("token", *[F.col(c).alias(f"odd_{c}") for c in ("doc_id", "n", "left", "component")])
-        enough = F.least("left", "odd_left") * (100 + percent) >= percent * (F.col("n") + F.col("odd_n"))
-        rest = tokens.join(odd, "token").where((F.col("component") != F.col("odd_component")) & compatible(F.col("n"), F.col("odd_n")) & enough)
-        rest = rest.select(F.least("odd_doc_id", "doc_id").alias("a"), F.greatest("odd_doc_id", "doc_id").alias("b")).distinct()
-        more = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-        extra = written(_confirmed(more, sets, percent), "links")
-        if not extra.isEmpty():
-            labels = components(links.union(extra))
-
-    return (
-        found.select("doc_id", "n_shingles").join(copies.distinct(), "doc_id", "left").withColumn("stand", F.coalesce("stand", "doc_id"))
-        .join(labels.select(F.col("node").alias("stand"), "component"), "stand", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "stand").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    with Scratch(docs.sparkSession, "near") as scratch:
+        compatible = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+        found = scratch.written(signatures(docs, words, id_col, text_col), "signatures")
+        sets = found.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
+        groups = scratch.written(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("stand"), F.max("doc_id").alias("last")).where("stand <> last"), "groups")
+        copies = scratch.written(sets.select("doc_id", "set_a", "set_b").join(groups, ["set_a", "set_b"]).where("doc_id <> stand").select("doc_id", "stand"), "copies")
+        banded = sets.join(copies, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+
+        row = F.struct("doc_id", "n")
+        by_id = W.partitionBy("band").orderBy("doc_id")
+        members = scratch.written(
+            banded.select(
+                "band", "doc_id", "n", F.first(row).over(by_id).alias("hub"), F.lag(row).over(by_id).alias("prev"),
+                F.last("doc_id").over(by_id.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"),
+            ).where(F.col("hub.doc_id") != F.col("last")),
+            "members",
+        )
+        against = lambda c: members.where(F.col(f"{c}.doc_id") != F.col("doc_id")).where(compatible(F.col("n"), F.col(f"{c}.n"))).select(F.col(f"{c}.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        tried = scratch.written(against("hub").union(against("prev")).distinct(), "pairs")
+        ids = lambda pairs: scratch.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
+        links = scratch.written(_confirmed(tried, scratch.written(_sets(ids(tried), docs, words, id_col, text_col), "near-sets"), percent), "links")
+        labels = components(links, scratch)
+
+        known = members.select("band", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        known = known.select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        counts = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+        open_bands = counts.groupBy("band").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1 and m > 2")
+        inside = known.join(open_bands.select("band", "main"), "band").groupBy("doc_id").agg(
+            F.max("n").alias("n"), F.max("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("odd"))
+        inside = scratch.written(inside, "open")
+        if not inside.isEmpty():
+            sets = scratch.written(_sets(inside.select("doc_id"), docs, words, id_col, text_col), "near-sets")
+            tokens = _prefixes(sets, percent).join(inside, "doc_id").withColumn("left", F.col("n") - F.col("place"))
+            odd = tokens.where("odd").select("token", *[F.col(c).alias(f"odd_{c}") for c in ("doc_id", "n", "left", "component")])
+            enough = F.least("left", "odd_left") * (100 + percent) >= percent * (F.col("n") + F.col("odd_n"))
+            rest = tokens.join(odd, "token").where((F.col("component") != F.col("odd_component")) & compatible(F.col("n"), F.col("odd_n")) & enough)
+            rest = rest.select(F.least("odd_doc_id", "doc_id").alias("a"), F.greatest("odd_doc_id", "doc_id").alias("b")).distinct()
+            more = scratch.written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+            extra = scratch.written(_confirmed(more, sets, percent), "links")
+            if not extra.isEmpty():
+                labels = components(links.union(extra), scratch)
+
+        result = (
+            found.select("doc_id", "n_shingles").join(copies.distinct(), "doc_id", "left").withColumn("stand", F.coalesce("stand", "doc_id"))
+            .join(labels.select(F.col("node").alias("stand"), "component"), "stand", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "stand").alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        )
+        return written(result, "near-duplicates")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
