@@ -49,7 +49,8 @@ def _table(rows: DataFrame, types: list[str], reports: list[int], width: int) ->
     for n, t in enumerate(types):
         at = head.index(t.lower()) if head else first + n * width
         parts.append(F.struct(F.lit(t).alias("datatype"), *[F.try_element_at("cells", F.lit(at + k + 1)).alias(f"c{k}") for k in range(width)]))
-    out = body.select(report.cast("int").alias("report"), F.explode(F.array(*parts)).alias("p")).where(F.col("report").isin(reports))
+    body = body.select(report.cast("int").alias("report"), "cells").where(F.col("report").isin(reports))
+    out = body.select("report", F.explode(F.array(*parts)).alias("p"))
     return out.select("report", "p.*")
 
 
