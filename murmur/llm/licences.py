@@ -12,14 +12,16 @@ import textwrap
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Steps of the canonical form, in order: pattern and replacement ($n: a group), valid for Java and RE2 alike; the text
-#: is in lower case. Fixed values; the spellings follow the equivalences that licence matching guidelines publish.
+#: Steps of the canonical form, in order: pattern and replacement ($n: a group), valid for Java and RE2 alike; lines are
+#: in lower case. Fixed values; the spellings follow the equivalences that licence matching guidelines publish.
 LINES = (
     # copyright lines, and list or comment marks before a line
-    (r"(?m)^[ \t>#*/;%|!-]*(?:copyright|\(c\)|©)[^\n]*$", ""),
-    (r"(?m)^[ \t>#*/;%|!-]*all rights reserved[^\n]*$", ""),
+    (r"^[ \t>#*/;%|!-]*(?:copyright|\(c\)|©)[^\n]*$", ""),
+    (r"^[ \t>#*/;%|!-]*all rights reserved[^\n]*$", ""),
     (r"https?://(?:www\.)?", ""),
 )
+#: What must be in a line for one of LINES to apply.
+LINE_MARKS = ("copyright", "(c)", "©", "all rights reserved", "http")
 MARKS = (
     (r"[^\p{L}\p{N}]+", " "),
 )
@@ -42,11 +44,8 @@ SPELLINGS = (
     (r"\b(sub|non|re) (licens|commercial|distribut)", "$1$2"),
     (r"\bcopyright owner", "copyright holder"),
 )
-#: What must be in a text for one of SPELLINGS to apply.
-SPELT = "|".join((
-    "licence|offence|defence|pretence|practis|is(?:e|ed|es|er|ers|ing|ation|ations)\\b|analys|logue|our|[tb]re\\b|ll(?:ed|ing)\\b|gement|artefact|programme|whilst|fulfill|wilful|per cent",
-    "\\b(?:sub|non|re) |copyright owner",
-))
+#: Whether any of SPELLINGS applies; all begin at a word.
+SPELT = r"\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in SPELLINGS) + ")"
 
 #: Known licences: SPDX identifier and a text or notice that stands for it. Texts are the licences' own words.
 TEXTS = (
@@ -149,26 +148,40 @@ def known_texts() -> list[tuple[str, str]]:
     return [(k, textwrap.dedent(v).strip()) for k, v in TEXTS] + [(k, f.format(n)) for k, names in NAMES.items() for n in names for f in FRAMES]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text: lower case, without copyright lines, letters and digits parted by single blanks,
-    one spelling for equivalent ones."""
-    out = F.lower(text)
-    for pattern, to in LINES:
-        out = F.regexp_replace(out, pattern, to)
-    for pattern, to in MARKS:
-        out = F.regexp_replace(out, pattern, to)
-    out = F.trim(out)
-    spelt = out
-    for pattern, to in SPELLINGS:
-        spelt = F.regexp_replace(spelt, pattern, to)
-    return F.when(out.rlike(SPELT), spelt).otherwise(out)
+def _replaced(text: Column, steps) -> Column:
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def _line_form(line: Column) -> Column:
+    """A line in lower case, letters and digits parted by single blanks, empty if it is a copyright line."""
+    low = F.lower(line)
+    marked = F.contains(low, F.lit(LINE_MARKS[0]))
+    for m in LINE_MARKS[1:]:
+        marked = marked | F.contains(low, F.lit(m))
+    return F.trim(_replaced(F.when(marked, _replaced(low, LINES)).otherwise(low), MARKS))
+
+
+def with_forms(df: DataFrame, text: Column) -> DataFrame:
+    """df with __whole, the canonical form of the text, and __lines, those of its lines that have any.
+
+    The form is in lower case, without copyright lines, letters and digits parted by single blanks, with one spelling
+    for equivalent ones. Lines are brought to it once; the whole is their join, but spelt as a whole."""
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+    df = df.withColumn("__plain", some(F.transform(F.split(text, "\n"), _line_form)))
+    df = df.withColumn("__joined", F.array_join("__plain", " "))
+    df = df.withColumn("__spelt", F.col("__joined").rlike(SPELT))
+    whole = F.when(F.col("__spelt"), _replaced(F.col("__joined"), SPELLINGS)).otherwise(F.col("__joined"))
+    lines = F.when(F.col("__spelt"), F.transform("__plain", lambda x: _replaced(x, SPELLINGS))).otherwise(F.col("__plain"))
+    return df.withColumn("__whole", whole).withColumn("__lines", lines).drop("__plain", "__joined", "__spelt")
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and license of the known texts; of several with one digest, the first by name."""
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts or known_texts()])
     rows = spark.range(1, numPartitions=1).select(F.inline(listed))
-    return rows.select("license", canonical(F.col("text")).alias("form")).where("form != ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+    return with_forms(rows, F.col("text")).where("__whole != ''").groupBy(F.sha2("__whole", 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,14 +192,11 @@ def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_c
     are counted back by id and digest: rows that repeat an id and a canonical text come out as one row. A null text is
     empty, its digest that of the empty form, which is no licence. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.sha2(canonical(text), 256)
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole.alias("canonical_sha256"), lines.alias("lines"))
-    units = rows.select("doc_id", "canonical_sha256", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("lines"))).alias("line"))
-    units = units.withColumn("digest", F.when(F.col("line").isNull(), F.col("canonical_sha256")).otherwise(F.sha2(canonical(F.col("line")), 256)))
-    found = units.join(F.broadcast(licences), "digest", "left").where(F.col("line").isNull() | F.col("license").isNotNull())
-    line = F.col("line").isNotNull()
+    forms = with_forms(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text"))
+    rows = forms.select("doc_id", F.sha2("__whole", 256).alias("canonical_sha256"), F.transform("__lines", lambda x: F.sha2(x, 256)).alias("lines"))
+    units = rows.select("doc_id", "canonical_sha256", F.posexplode(F.concat(F.array("canonical_sha256"), "lines")).alias("place", "digest"))
+    found = units.join(F.broadcast(licences), "digest", "left").where((F.col("place") == 0) | F.col("license").isNotNull())
+    line = F.col("place") > 0
     return found.groupBy("doc_id", "canonical_sha256").agg(
         F.max(F.when(~line, F.col("license"))).alias("license"),
         F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("notices"),
@@ -205,7 +215,7 @@ def _sql() -> str:
     def form(x: str) -> str:
         out = f"lower({x})"
         for pattern, to in (*LINES, *MARKS):
-            out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
+            out = f"regexp_replace({out}, {quote('(?m)' + pattern)}, {quote(to)}, 'g')"
         out = f"trim({out})"
         for pattern, to in SPELLINGS:
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
