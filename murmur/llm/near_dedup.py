@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, sections, written
+from .common import WORD, Scratch, sections, written
 from .components import components
 
 #: Bytes of text per chunk; bounds a worker's memory, not its results.
@@ -295,3 +295,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+
+
+_UPPER = "".join(map(chr, range(65, 91)))
+OP9_SQL = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{WORD}') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) when len(w) = 1 then [w[1]] else [] end) as s from w
+), n as (
+  select doc_id, count(s) as n from (select doc_id from documents) left join s using (doc_id) group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), e as (select a, b from l union all select b, a from l),
+reach as (select doc_id as node, doc_id as other from documents union select node, b from reach join e on other = a)
+select doc_id, n as n_shingles, min(other) as component_id, doc_id = min(other) as kept from n join reach on node = doc_id group by doc_id, n
+"""

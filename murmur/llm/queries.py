@@ -8,9 +8,9 @@ from .fingerprint import op7_fingerprints
 from .language import op5_language
 from .licences import OP1_SQL, op1_licences
 from .mixing import OP3_SQL, op3_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .pii import op10_pii
-from .sharding import op8_sharding
+from .sharding import OP8_SQL, op8_sharding
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -30,4 +30,6 @@ SQL = {
     "op1_licences": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op8_sharding": OP8_SQL,
+    "op9_near_dedup": OP9_SQL,
 }

@@ -77,7 +77,7 @@ def shard(docs: DataFrame, tree: Node, grown: Node, *, id_col: str = "doc_id", t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = id_text(F.col(id_col))
-    part = F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int")
+    part = (F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), key)), 1, 5), 16, 10).cast("int") % pieces)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("piece"), key.alias("key"))
     ends = (
         narrow.select(place(F.col("key"), tree).alias("shard"), "piece").groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
@@ -101,3 +101,46 @@ PLANNED = plan_tree(2, 4, 5)
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), PLANNED, add_shard(PLANNED))
+
+
+#: CRC-32 in SQL: the table by its polynomial, then a step for each byte. Fixed value: the reversed polynomial.
+_CRC = """tab as (select list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as tab),
+bytes as (select doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint) as b from docs),
+crc as (select doc_id, text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)))::bigint as text_crc32 from bytes, tab)"""
+
+
+def _sql(tree: Node, grown: Node, pieces: int = 256) -> str:
+    """The same in SQL: a table of each tree's nodes, and the smallest draw among the children at each level."""
+
+    def nodes(root: Node) -> tuple[list[tuple], int]:
+        rows, level, depth = [], [root], 0
+        while level[0].children:
+            depth += 1
+            rows += [(depth, n.name, c.name, float(c.weight), -1 if c.shard is None else c.shard) for n in level for c in n.children if c.weight > 0]
+            level = [c for n in level for c in n.children if c.weight > 0]
+        return rows, depth
+
+    parts = []
+    for label, root in (("a", tree), ("g", grown)):
+        rows, depth = nodes(root)
+        values = ", ".join(f"({d}, '{p}', '{n}', {w!r}, {s})" for d, p, n, w, s in rows)
+        parts.append(f"{label}_nodes(depth, parent, name, w, shard) as (values {values})")
+        parts.append(f"{label}0 as (select key, '{root.name}' as name, -1 as shard from keys)")
+        for d in range(1, depth + 1):
+            draw = f"-ln(((('0x' || substr(md5(n.name || '|' || key), 1, 13))::bigint)::double + 0.5) / {float(1 << 52)!r}) / n.w"
+            parts.append(
+                f"{label}{d} as (select key, arg_min(n.name, {draw}) as name, arg_min(n.shard, {draw}) as shard from {label}{d - 1} t join {label}_nodes n on n.depth = {d} and n.parent = t.name group by key)")
+    last = {label: f"{label}{nodes(root)[1]}" for label, root in (("a", tree), ("g", grown))}
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents), keys as (select distinct coalesce(doc_id::varchar, 'null') as key from docs),
+{_CRC}, {", ".join(parts)},
+rows as (
+  select doc_id, (strlen(text) + 16)::bigint as size, text_crc32, {last["a"]}.shard::int as shard, {last["g"]}.shard::int as grown_shard,
+         ('0x' || substr(md5('slot|' || key), 1, 5))::bigint % {pieces} as piece
+  from crc join {last["a"]} on {last["a"]}.key = coalesce(doc_id::varchar, 'null') join {last["g"]} using (key)
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by piece, doc_id, text_crc32, size) - 1 as slot, grown_shard from rows
+"""
+
+
+OP8_SQL = _sql(PLANNED, add_shard(PLANNED))
