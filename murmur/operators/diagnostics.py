@@ -96,3 +96,24 @@ def update_class(cells: DataFrame) -> DataFrame:
 def split_data(sizes: DataFrame) -> DataFrame:
     """report, datatype, kind: scalar data (one value) and vectors."""
     return sizes.withColumn("kind", F.when(F.col("n") == 1, "scalar").otherwise("vector"))
+
+
+def first_component(data: DataFrame, datatype: str) -> DataFrame:
+    """member, y and d of a data type's values projected on the first principal component of its predictions.
+
+    The direction comes from members x members products, so the data stay where they are: with the leading right
+    vector q of the centred predictions Yc, the direction is Yc q, normalised."""
+    import numpy as np
+
+    from . import gram
+
+    rows = data.where(F.col("datatype") == datatype).withColumn("dev", F.col("d") - F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y"))
+    g = gram.products(rows, {"y": "center"}, [("y", "y")])["y", "y"]
+    w, v = np.linalg.eigh(g)
+    q = v[:, -1] * np.sign(v[np.abs(v[:, -1]).argmax(), -1])
+    n = len(g)
+    mean = F.aggregate("y", F.lit(0.0), lambda a, x: a + x) / F.size("y")
+    along = F.aggregate(F.zip_with("y", F.array(*[F.lit(float(x)) for x in q]), lambda y, b: (y - mean) * b), F.lit(0.0), lambda a, x: a + x) / float((n - 1) ** 0.5 * max(w[-1], 0) ** 0.5)
+    with_dir = rows.withColumn("u", along)
+    each = with_dir.select("u", "d", F.posexplode("y").alias("member", "y"))
+    return each.groupBy("member").agg(F.sum(F.col("u") * F.col("y")).alias("y"), F.sum(F.col("u") * F.col("d")).alias("d"))

@@ -174,3 +174,38 @@ def test_sparse_fields(spark):
     rows = [(1, "seis", i, [float(v), float(2 * v)]) for i, v in enumerate(smooth.ravel())]
     got = s.compress_members(spark.createDataFrame(rows, "report int, datatype string, comp int, y array<double>"), ["report", "datatype"]).orderBy("idx").collect()
     assert np.allclose([r.y[1] for r in got], 2 * s.compress(smooth.ravel()))
+
+
+def test_runs_are_kept(spark, tmp_path):
+    from murmur.sources import store
+
+    df = spark.createDataFrame([("x", i, float(i)) for i in range(3)], "param string, i int, x double")
+    for kind in ("csv", "npy", "npz"):
+        store.save_state(df, str(tmp_path / f"s.{kind}"), kind)
+    assert np.load(tmp_path / "s.npz")["x"].tolist() == [0, 1, 2] and np.loadtxt(tmp_path / "s.csv").tolist() == [0, 1, 2]
+    for n in (1, 2):
+        store.checkpoint(str(tmp_path / "c"), n, {"state": df.withColumn("x", df.x + n)}, {"lam": n})
+    n, found, settings = store.restart(spark, str(tmp_path / "c"))
+    assert n == 2 and settings == {"lam": 2} and [r.x for r in found["state"].orderBy("i").collect()] == [2, 3, 4]
+    log = store.RunLog("t", iteration=10, misfit=12)
+    assert log.write(iteration=1, misfit=2.5).split() == ["1", "2.5"] and log.table(spark).count() == 1
+    store.export_state(spark.createDataFrame([("x", 0, [1.0, 2.0])], "param string, cell int, x array<double>"), str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+    grid = small_grid()
+    grids.write(str(tmp_path / "g.grdecl"), grid)
+    ni, nj, nk = grid["DIMENS"]
+    (tmp_path / "g.egrid").write_bytes(records.encode([("GRIDHEAD", "INTE", np.array([1, ni, nj, nk])), ("COORD", "REAL", grid["COORD"].ravel()), ("ZCORN", "REAL", grid["ZCORN"].ravel()), ("ACTNUM", "INTE", grid["ACTNUM"].ravel())]))
+    a, b = (store.read_grid(spark, str(tmp_path / f"g.{x}")) for x in ("grdecl", "egrid"))
+    assert sorted(map(tuple, a["corners"].collect())) == sorted(map(tuple, b["corners"].collect()))
+
+
+def test_first_component(spark):
+    from murmur.operators import diagnostics
+
+    rng = np.random.default_rng(7)
+    y = np.outer([1.0, 2.0, -1.0], rng.standard_normal(8)) + 0.01 * rng.standard_normal((3, 8))
+    d = spark.createDataFrame([(i, "w", float(i), y[i].tolist()) for i in range(3)], "comp int, datatype string, d double, y array<double>")
+    got = diagnostics.first_component(d, "w").orderBy("member").collect()
+    u = np.linalg.svd(y - y.mean(1, keepdims=True))[0][:, 0]
+    a = np.array([r.y for r in got])
+    assert np.allclose(np.abs(a), np.abs(u @ y), atol=1e-8) and abs(abs(got[0].d) - abs(u @ np.arange(3.0))) < 1e-8
