@@ -217,7 +217,7 @@ p as (
   select source, lang, topic, round(case when k < k0 then 1 else least(1, s0 * ratio) end, 6) as p from scaled, first_open
 )
 select doc_id, docs.source, docs.lang, docs.topic, n_tokens, coalesce(p, {s.keep}) as probability,
-       ((('0x' || substr(md5('{s.seed}|' || doc_id), 1, 13))::bigint)::double + 0.5) / {float(1 << 52)} < coalesce(p, {s.keep}) as kept
+       ((('0x' || substr(md5('{s.seed}|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint)::double + 0.5) / {float(1 << 52)} < coalesce(p, {s.keep}) as kept
 from docs left join p using (source, lang, topic)
 """
 

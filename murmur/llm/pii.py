@@ -212,3 +212,70 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[number(k) for k in PATTERNS], F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("__base", "__terms"))).alias("spans"),
     )
+
+
+#: The contract's plain patterns; RE2 searches them in linear time as they are.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _sql() -> str:
+    """The same in SQL."""
+
+    def places(source: str, text: str, pattern: str) -> str:
+        """source's columns with s, e, v of each match."""
+        found = f"(select *, regexp_extract_all({text}, '{pattern}', 0) as f, regexp_split_to_array({text}, '{pattern}') as g from {source})"
+        one = f"(select *, unnest(generate_series(1, len(f))) as m from {found} where len(f) > 0)"
+        begin = "list_sum(list_transform(g[1:m], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:m - 1], lambda x: length(x))), 0)"
+        return f"(select * exclude (f, g, m), ({begin})::bigint as s, ({begin} + length(f[m]))::bigint as e, f[m] as v from {one})"
+
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    digit = "substr(reverse(d), i, 1)::int"
+    luhn = f"list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end)) % 10 = 0"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0",
+        "card": f"length(d) between 12 and 19 and {luhn}",
+        "phone": "length(d) between 9 and 15",
+    }
+    base = " union all ".join(
+        f"select id, t, '{k}' as kind, {i} as rank, s, e, v from (select *, {digits} as d from {places('keyed', 't', p)}) where {valid[k]}" for i, (k, p) in enumerate(PLAIN.items()))
+    term = TERM.replace("*+", "*")
+    spelt = "string_agg(kind || ':' || s || ':' || e, ',' order by s, rank, e)"
+    return f"""
+with docs as (select doc_id, coalesce(doc_id::varchar, 'null') as id, coalesce(text, '') as t from documents),
+keyed as (select distinct id, t from docs), base as ({base}),
+sides as (
+  select id, t, kind, case when kind in ('card', 'phone') then {digits} else lower(v) end as entity, greatest(s - {CONTEXT}, 0) as first, e as last,
+         substr(t, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) as l, substr(t, e + 1, {CONTEXT}) as r
+  from base
+), near as (
+  select id, t, kind, entity, s + first as s, e + first as e, lower(v) as term from {places('sides', 'l', term)} where s > 0 or first = 0
+  union all select id, t, kind, entity, s + last as s, e + last as e, lower(v) as term from {places('sides', 'r', term)} where e < {CONTEXT}
+), beside as (select * from near where not exists (select 1 from base b where b.id = near.id and b.t = near.t and b.s < near.e and b.e > near.s)),
+strong as (
+  select kind, entity, count(distinct (id, t)) as n_e from (select id, t, kind, entity from sides) group by all having count(distinct t) >= {SUPPORT}
+), pairs as (
+  select kind, entity, n_e, term, count(distinct (id, t)) as n_te from beside join strong using (kind, entity) group by all having count(distinct t) >= {SUPPORT}
+), seen as (
+  select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) as term from docs) where term in (select term from pairs) group by term
+), shares as (
+  select *, log2((select count(*) from docs) * n_te / (n_t * n_e)) / nullif(log2((select count(*) from docs) / n_e), 0) as share from pairs join seen using (term)
+), told as (
+  select id, t, s, e, max(case when share >= {REMOVE} then 'remove' else 'generalise' end) as action from beside join shares using (kind, entity, term)
+  where share >= {GENERALISE} and n_e < (select count(*) from docs) group by all
+), base_text as (
+  select id, t, {spelt} as spelt, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in PLAIN)} from base group by all
+), all_text as (
+  select id, t, {spelt} as spelt from (select id, t, kind, rank, s, e from base union all select id, t, 'term', {len(PLAIN)}, s, e from told) group by all
+)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PLAIN)}, sha256(coalesce(b.spelt, '')) as base_sha256, coalesce(a.spelt, '') as spans
+from docs left join base_text b using (id, t) left join all_text a using (id, t)
+"""
+
+
+OP10_SQL = _sql()

@@ -9,7 +9,7 @@ from .language import op5_language
 from .licences import OP1_SQL, op1_licences
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
-from .pii import op10_pii
+from .pii import OP10_SQL, op10_pii
 from .sharding import OP8_SQL, op8_sharding
 from .warc import OP4_SQL, op4_warc
 
@@ -32,4 +32,5 @@ SQL = {
     "op4_warc": OP4_SQL,
     "op8_sharding": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op10_pii": OP10_SQL,
 }
