@@ -74,8 +74,10 @@ def kalman_gain(state: DataFrame, data: DataFrame, group: list[str]) -> DataFram
 def top_gains(gains: DataFrame, group: list[str], top: int = 10) -> DataFrame:
     """The data with the largest absolute gain, by its maximum over cells; top for each group."""
     each = gains.groupBy(*group, "report", "datatype").agg(F.max(F.abs("gain")).alias("max_gain"), F.avg(F.abs("gain")).alias("mean_gain"))
-    turn = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("max_gain"), "report", "datatype")) if group else F.row_number().over(W.orderBy(F.desc("max_gain"), "report", "datatype"))
-    return each.withColumn("turn", turn).where(F.col("turn") <= top)
+    order = [F.desc("max_gain"), "report", "datatype"]
+    if not group:
+        return each.orderBy(*order).limit(top)
+    return each.withColumn("turn", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("turn") <= top).drop("turn")
 
 
 def update_statistics(cells: DataFrame, group: list[str]) -> DataFrame:

@@ -53,10 +53,14 @@ def level_gradient(gradients: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def smc_weights(values: DataFrame, beta: float, group: list[str] | None = None) -> DataFrame:
-    """member, w: exp of at most 10 of -beta (f - min f), plus 1e-6, normalised."""
-    w = W.partitionBy(*(group or [F.lit(0)]))
-    least = values.withColumn("__raw", F.exp(F.least(-(F.col("f") - F.min("f").over(w)) * beta, F.lit(10.0))) + 1e-6)
-    return least.withColumn("w", F.col("__raw") / F.sum("__raw").over(w)).drop("__raw", "f")
+    """member, w: exp of at most 10 of -beta (f - min f), plus 1e-6, normalised; within each group if given. The least
+    value and the sum are aggregated first and joined back."""
+    keys = group or []
+    join = lambda a, b: a.join(F.broadcast(b), keys) if keys else a.join(F.broadcast(b))
+    least = values.groupBy(*keys).agg(F.min("f").alias("__least"))
+    raw = join(values, least).withColumn("__raw", F.exp(F.least(-(F.col("f") - F.col("__least")) * beta, F.lit(10.0))) + 1e-6)
+    total = raw.groupBy(*keys).agg(F.sum("__raw").alias("__total"))
+    return join(raw, total).withColumn("w", F.col("__raw") / F.col("__total")).select(*keys, "member", "w")
 
 
 def weighted_mean(controls: DataFrame, weights: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -122,6 +122,34 @@ def clip_matrix(matrix: DataFrame, low: float | None, high: float | None, value:
     return matrix.withColumn(value, F.transform(value, limit))
 
 
+def running_share(df: DataFrame, value: str, key: str, parts: int = 200) -> DataFrame:
+    """df with `share` (of the total, running from the largest value down, ties by key) and `n` (of all rows).
+
+    The rows are dealt into `parts` ranges of the value; each range's sum begins where those of larger values end, so no
+    task sorts the whole. What is broadcast is a row for each range."""
+    bounds = sorted(set(df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    ranged = df.withColumn("__part", part)
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("t"), F.count(F.lit(1)).alias("c")).collect()
+    rows, before = [], 0.0
+    total, count = sum(r["t"] for r in sums), sum(r["c"] for r in sums)
+    for r in sorted(sums, key=lambda r: -r["__part"]):
+        rows.append((r["__part"], float(before)))
+        before += r["t"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, __before double"))
+    within = F.sum(value).over(W.partitionBy("__part").orderBy(F.desc(value), key))
+    return ranged.join(starts, "__part").withColumn("share", (F.col("__before") + within) / F.lit(float(total))).withColumn("n", F.lit(count)).drop("__part", "__before")
+
+
+def numbered(df: DataFrame, order: str, name: str, block: int = 100_000) -> DataFrame:
+    """df with `name`, the rows' number from 0 by a whole-number column, counted by blocks of it."""
+    blocks = df.withColumn("__block", F.floor(F.col(order) / block).cast("long"))
+    counts = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("c"))
+    before = F.broadcast(counts.select("__block", (F.sum("c").over(W.orderBy("__block")) - F.col("c")).alias("__before")))  # a row a block
+    within = F.row_number().over(W.partitionBy("__block").orderBy(order))
+    return blocks.withColumn("__n", within).join(before, "__block").withColumn(name, (F.col("__before") + F.col("__n") - 1).cast("int")).drop("__block", "__n", "__before")
+
+
 # -- small matrices, on the driver -----------------------------------------------------------------------------------
 
 

@@ -335,7 +335,7 @@ select label, 0::int as report, datatype::varchar as datatype, {r('max(abs(g))')
 def kalman_gain_top(spark, sf):
     x = state_long(spark, sf)
     data = x.where("cell in (5, 20)").select("label", "member", F.lit(0).alias("report"), F.col("cell").cast("string").alias("datatype"), F.col("x").alias("y"), F.lit(0.0025).alias("v"))
-    return rounded(diagnostics.top_gains(diagnostics.kalman_gain(x, data, ["label"]), ["label"], 10).drop("turn"))
+    return rounded(diagnostics.top_gains(diagnostics.kalman_gain(x, data, ["label"]), ["label"], 10))
 
 
 def _cells(spark, sf):
@@ -556,11 +556,9 @@ def forecast_members(spark, sf):
 c as (select k, sum(s) over (order by k) / sum(s) over () as share from s), n as (select count(*) as n from s)
 select greatest(1, count(*) filter (share < 0.9)) as below, greatest(1, count(*) filter (share <= 0.9)) as upto, least(any_value(n), count(*) filter (share < 0.9) + 1) as reach from c, n""")
 def energy_rank(spark, sf):
-    """The three energy rules, on a spectrum of any length: shares of the total are summed as windows over buckets."""
+    """The three energy rules, on a spectrum of any length."""
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_retailprice").alias("s"))
-    total = p.agg(F.sum("s").alias("total"), F.count("s").alias("n"))
-    share = F.sum("s").over(W.orderBy(F.desc("s"), "p_partkey")) / F.col("total")
-    c = p.join(F.broadcast(total)).select(share.alias("share"), "n")
+    c = statistics.running_share(p, "s", "p_partkey")
     below, upto = F.count(F.when(F.col("share") < 0.9, 1)), F.count(F.when(F.col("share") <= 0.9, 1))
     return c.agg(F.greatest(F.lit(1), below).alias("below"), F.greatest(F.lit(1), upto).alias("upto"), F.least(F.max("n"), below + 1).alias("reach"))
 
@@ -598,7 +596,7 @@ _CORNER_SQL = """c as (select (n // 12)::int as k, ((n // 4) % 3)::int as j, (n
   from generate_series(0, 23) g(n), generate_series(0, 1) x(b), generate_series(0, 1) y(f), generate_series(0, 1) w(r))"""
 
 
-@query(f"with {_CORNER_SQL} select k, b, j, f, i, r, {r('100.0 * (i + r) + 5 * (z - 1000) / 40', 6)} as x, {r('50.0 * (j + f)', 6)} as y, z from c")
+@query(f"with {_CORNER_SQL} select k, b, j, f, i, r, {r('100.0 * (i + r) + 5 * (z - 1000) / 40', 6)} as x, {r('50.0::double * (j + f)', 6)} as y, z from c")
 def corner_points(spark, sf):
     _, corners, pillars = _corner_tables(spark)
     return rounded(grid.corner_points(corners, pillars))

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from murmur.operators.statistics import numbered
+
 #: Numpy types of the record types, and values in one block. Fixed values of the format.
 TYPES = {"INTE": (">i4", 1000), "REAL": (">f4", 1000), "DOUB": (">f8", 1000), "LOGI": (">i4", 1000), "CHAR": ("S8", 105), "MESS": ("S1", 1)}
 SCHEMA = "path string, kwd string, seq int, typ string, idx int, num double, text string"
@@ -120,8 +121,7 @@ def at(dates: DataFrame, when: dt.date) -> int:
 
 def active_cells(init: DataFrame) -> DataFrame:
     """cell, active_idx: cells with pore volume, numbered among themselves by position."""
-    live = values(init, "PORV").where("num > 0")
-    return live.select(F.col("idx").alias("cell"), (F.row_number().over(W.orderBy("idx")) - 1).alias("active_idx"))
+    return numbered(values(init, "PORV").where("num > 0").select(F.col("idx").alias("cell")), "cell", "active_idx")
 
 
 def cell_data(records: DataFrame, kwd: str, cells: int, live: DataFrame, seq: int = 0) -> DataFrame:
