@@ -23,7 +23,7 @@ from .common import WORD, Scratch, sections, written
 from .components import components
 
 #: Bytes of text per chunk; bounds a worker's memory, not its results.
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 500_000
 ROWS, GROUPS = 8, 38
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
