@@ -52,8 +52,8 @@ def parse_keywords(lines: list[str]) -> dict[str, Any]:
     return out
 
 
-def read_text(path: str) -> tuple[dict, dict]:
-    """The two sections of a keyword file: assimilation or optimization, and simulation."""
+def text_sections(path: str) -> dict[str, dict]:
+    """The sections of a keyword file by name."""
     found: dict[str, list[str]] = {}
     now: list[str] = []
     for line in open(path, encoding="utf-8"):
@@ -62,7 +62,12 @@ def read_text(path: str) -> tuple[dict, dict]:
             now = found.setdefault(name, [])
         else:
             now.append(line)
-    parsed = {k: parse_keywords(v) for k, v in found.items()}
+    return {k: parse_keywords(v) for k, v in found.items()}
+
+
+def read_text(path: str) -> tuple[dict, dict]:
+    """The two sections of a keyword file: assimilation or optimization, and simulation."""
+    parsed = text_sections(path)
     return parsed.get("dataassim") or parsed.get("optim") or {}, parsed.get("fwdsim", {})
 
 
@@ -85,14 +90,13 @@ def read_toml(path: str) -> dict[str, dict]:
 
 
 def read(path: str) -> tuple[dict, dict, dict]:
-    """(assimilation or optimization, simulation, ensemble) by the file's suffix; checked."""
+    """(assimilation or optimization, simulation, ensemble): YAML or TOML by the file's suffix, checked; a file of any
+    other suffix is keyword text."""
     suffix = os.path.splitext(path)[1].lower()
-    if suffix in (".pipt", ".popt"):
+    if suffix not in (".yaml", ".yml", ".toml"):
         first, second = read_text(path)
         return first, second, {k: first[k] for k in ("ne", "state") if k in first}
-    found = read_yaml(path) if suffix in (".yaml", ".yml") else read_toml(path) if suffix == ".toml" else None
-    if found is None:
-        raise ValueError(f"no configuration has the suffix {suffix}")
+    found = read_toml(path) if suffix == ".toml" else read_yaml(path)
     found = {k.lower(): v for k, v in found.items()}
     kind = "dataassim" if "dataassim" in found else "optim"
     for name in (kind, "fwdsim", "ensemble"):
@@ -138,9 +142,7 @@ def to_yaml(sections: dict[str, dict], path: str) -> None:
 
 def convert(path: str, to: str) -> None:
     """A keyword file as YAML or TOML, by the new name's suffix."""
-    first, second = read_text(path)
-    sections = {"dataassim" if path.endswith(".pipt") else "optim": first, "fwdsim": second}
-    (to_yaml if to.endswith((".yaml", ".yml")) else to_toml)(sections, to)
+    (to_yaml if to.endswith((".yaml", ".yml")) else to_toml)(text_sections(path), to)
 
 
 def _column(path: str) -> list[str]:

@@ -21,7 +21,7 @@ def test_keyword_values():
 
 
 def test_configurations(tmp_path):
-    text = tmp_path / "a.pipt"
+    text = tmp_path / "a.txt"
     text.write_text("DATAASSIM\n\nTRUEDATA\ntrue.csv\n\nNE\n50\n\nFWDSIM\n\nDATATYPE\nwopr\twwpr\n\nREPORTPOINT\n1 2 3\n")
     first, second, _ = config.read(str(text))
     assert first["ne"] == 50 and second == {"datatype": ["wopr", "wwpr"], "reportpoint": [1.0, 2.0, 3.0]}
