@@ -10,7 +10,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sections
+from .common import held, sections, small_batches
 
 #: Fixed value: the size of a RIFF/WAVE header with one format chunk.
 HEADER = 44
@@ -175,9 +174,8 @@ class Features:
         return out.reshape(n, s.frames, s.bands)
 
 
-@lru_cache(maxsize=2)
 def _features(s: Settings) -> Features:
-    return Features(s)
+    return held(s, lambda: Features(s))
 
 
 def features(media: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", media_col: str = "media", carry: list[str] | None = None) -> DataFrame:
@@ -226,6 +224,7 @@ def features(media: DataFrame, settings: Settings = Settings(), *, id_col: str =
                     ["doc_id", *carry, "payload", "n_frames", "tensors", "tensor_spans", "segments"],
                 )
 
+    small_batches(media.sparkSession)
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("__media"), *[F.col(c) for c in carry])
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return rows.mapInArrow(run, f"doc_id long{kept}, payload binary, n_frames long, tensors binary, tensor_spans {span}, segments {span}")

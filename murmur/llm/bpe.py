@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sections
+from .common import held, sections, small_batches
 from .tables import Table
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern, its \s and \S written as the Unicode property.
@@ -309,9 +308,8 @@ class Bpe:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -335,6 +333,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     columns.append(pa.array(bpe.decode(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
 
@@ -351,6 +350,7 @@ def decode(rows: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str =
                 some = [np.frombuffer(x, "<u4") for x in ids[part.start : part.stop].to_pylist()]
                 yield pa.RecordBatch.from_arrays([key[part.start : part.stop], pa.array(bpe.decode(some), pa.string())], ["doc_id", "text"])
 
+    small_batches(rows.sparkSession)
     picked = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
     return picked.mapInArrow(run, "doc_id long, text string")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,29 @@ class Scratch:
         delete_path(self.spark, self.path)
 
 
+#: Bytes of the batches that go to Python workers, in place of Spark's default.
+BATCH_BYTES, _KEY, _DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b", "64m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of some MB, unless it has a setting of its own: a batch is
+    held by the executor and the worker at once, and texts are long."""
+    if spark.conf.get(_KEY, "67108864b") in _DEFAULT:
+        spark.conf.set(_KEY, BATCH_BYTES)
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks: one thing, such as the last vocabulary, so that a reused worker does not
+    gather all that it ever needed."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sections
+from .common import held, sections, small_batches
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,9 +203,8 @@ class Fingerprinter:
         return [(rows[a:b], counts[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
-@lru_cache(maxsize=2)
 def _fingerprinter(s: Settings) -> Fingerprinter:
-    return Fingerprinter(s)
+    return held(s, lambda: Fingerprinter(s))
 
 
 # -- over a table --------------------------------------------------------------------------------------------------
@@ -286,6 +284,7 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings(), *, id_col: st
                 yield result(held)
                 del held[:-1]
 
+    small_batches(docs.sparkSession)
     return beside_next(docs, id_col=id_col, text_col=text_col).mapInArrow(
         run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -9,7 +9,6 @@ are learned by expectation-maximisation over the same sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sections, uniform
+from .common import Scratch, held, sections, small_batches, uniform
 from .tables import Table
 
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -27,7 +26,7 @@ HAS_LETTER = regex.compile(r"\p{L}")
 #: A run of more letters is scored as runs of this many.
 RUN = 96
 #: Characters per chunk of texts; bounds a worker's memory, not its results.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 #: Each character's factor in the forward sums, about the inverse of its usual probability: keeps them within doubles.
 SCALE = 64.0
 #: Probability of a character that is in no piece, in every language.
@@ -76,9 +75,8 @@ class Pieces:
         return out
 
 
-@lru_cache(maxsize=1)
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def words_of(text: str) -> list[str]:
@@ -182,6 +180,7 @@ def learn(docs: DataFrame, path: str, *, per_lang: int = 1500, rounds: int = 3,
                     [pa.array(each // max(1, len(coded.dictionary)), pa.int32()), coded.dictionary.take(pa.array(each % max(1, len(coded.dictionary)))), pa.array(n, pa.int64())], ["lang", "word", "n"]
                 )
 
+    small_batches(docs.sparkSession)
     counted = sample.select(F.element_at(number, F.col("lang")).alias("lang"), "text").mapInArrow(count, "lang int, word string, n long")
     with Scratch(docs.sparkSession, "language") as scratch:
         words = scratch.written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
@@ -231,6 +230,7 @@ def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id"
     text when no language was learned. Of languages that score the same, the first by name is taken. Rows that repeat
     give equal rows; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +245,7 @@ def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id"
 def keep_identified(docs: DataFrame, model: Model, path: str, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose language is identified with a score of `least` or more; those
     that are `und` go. With at most three languages every text with a letter stays."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.chance))
     at = docs.columns.index(text_col)
 

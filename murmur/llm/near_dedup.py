@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, sections, written
+from .common import WORD, Scratch, sections, small_batches, written
 from .components import components
 
 #: Bytes of text per chunk; bounds a worker's memory, not its results.
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     and get the same component each. Other columns are ignored; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession, "near") as scratch:
+        small_batches(docs.sparkSession)
         compatible = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
         found = scratch.written(signatures(docs, words, id_col, text_col), "signatures")
         sets = found.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, scratch_path, written
+from .common import delete_path, scratch_path, small_batches, written
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -145,6 +145,7 @@ def write_archives(rows: DataFrame, folder: str, *, level: int = 1, archive_byte
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["archive", "n"])
 
+    small_batches(rows.sparkSession)
     return written(rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, n long"), "archives")
 
 
