@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,6 @@ class Bpe:
         rank = np.arange(len(pairs), dtype=np.int32)
         self.made, self.size = made, size
         self.pairs = Table(left * size + right, rank)
-        self.rank_of = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(left, right, strict=True))}
         # a token's own rank, -1 if no merge makes it; and its halves
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         self.rank[made], self.left[made], self.right[made] = rank, left, right
@@ -86,7 +86,16 @@ class Bpe:
         self.ends = np.array(ends, np.int32)
         self.steps = Table(np.array([s for s, _ in steps], np.int64), np.array([n for _, n in steps], np.int32))
         self.first = self.steps.get(np.arange(256, dtype=np.int64))
-        self.step_of = dict(steps)
+
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The ranks of merges by left * size + right; only words merged on their own need it."""
+        return self.pairs.items()
+
+    @cached_property
+    def step_of(self) -> dict[int, int]:
+        """The trie's steps by node * 256 + byte, for the same words."""
+        return self.steps.items()
 
     # -- verification ------------------------------------------------------------------------------------------
 
@@ -231,7 +240,7 @@ class Bpe:
         token = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(token)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self.rank_of.get((token[i], token[i + 1]))) is not None]
+        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self.rank_of.get(token[i] * self.size + token[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -242,7 +251,7 @@ class Bpe:
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (q := self.rank_of.get((token[x], token[y]))) is not None:
+                if x >= 0 and y < n and (q := self.rank_of.get(token[x] * self.size + token[y])) is not None:
                     heapq.heappush(heap, (q, x, token[x], token[y]))
         return [t for t in token if t >= 0]
 

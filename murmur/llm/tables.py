@@ -39,3 +39,8 @@ class Table:
             more = ~hit & (held != -1)
             left, slot = left[more], slot[more]
         return out
+
+    def items(self) -> dict[int, int]:
+        """All of it as a dict."""
+        there = self.keys != -1
+        return dict(zip(self.keys[there].tolist(), self.values[there].tolist(), strict=True))
