@@ -7,6 +7,7 @@ which may be a licence's entire notice, are looked up. Everything is DataFrame e
 
 from __future__ import annotations
 
+import pkgutil
 import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,16 @@ LINES = (
     (r"^[ \t>#*/;%|!-]*all rights reserved[^\n]*$", ""),
     (r"https?://(?:www\.)?", ""),
 )
+#: Words of licences' own sentences that follow "copyright", where a line break may put it first.
+OWN_WORDS = r"(?:and|or|in|is|to|of|on|for|holders?|owners?|owned|notices?|laws?|licen[cs]es?|interests?|statements?|acts?|protection|rights?|treaty|treaties|status|infringement|claims?)"
+_HEAD, _YEAR = r"^[ \t>#*/;%|!-]*", r"(?:[12][0-9]{3}|[<\[{])"
+#: The copyright line that the operator drops, for Java, in a line as it is written: copyright, then (c), a year or a name
+#: (or nothing); (c), then copyright, a year or only a name. The first of LINES, which the SQL has, takes every line that
+#: begins with one of these words, and with it words of licences.
+NOTICE = (
+    rf"{_HEAD}(?:©|(?i:copyright)[ \t:,]*(?:(?i:\(c\)|©|&copy;|copyright)|\r?$|{_YEAR}|(?:(?i:by|the)[ \t]+)*(?!(?i:{OWN_WORDS})\b)\p{{Lu}})"
+    rf"|(?i:\(c\))[ \t]*(?:(?i:copyright)[ \t:,]*(?:(?i:\(c\)|by)|{_YEAR}|\p{{Lu}})|{_YEAR}|(?i:by[ \t]+)?(?:\p{{Lu}}[^ \t]*[ \t]*|(?:and|of|the|for)[ \t]+){{1,8}}$))"
+)
 #: What must be in a line for one of LINES to apply.
 LINE_MARKS = ("copyright", "(c)", "©", "all rights reserved", "http")
 MARKS = (
@@ -147,6 +158,51 @@ def known_texts() -> list[tuple[str, str]]:
     """Licence and text for all of TEXTS and NAMES in FRAMES: a few hundred, whatever is scanned."""
     return [(k, textwrap.dedent(v).strip()) for k, v in TEXTS] + [(k, f.format(n)) for k, names in NAMES.items() for n in names for f in FRAMES]
 
+#: Titles with which short texts are published; each of TEXTS and PUBLISHED is known with each and without.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+#: Texts published as files, in licence_texts: file, licence, where the text begins without its title, and where the
+#: advice on using it begins, which many copies leave out.
+PUBLISHED = (
+    ("Apache-2.0", "Apache-2.0", ("TERMS AND CONDITIONS FOR USE",), ("APPENDIX: How to apply", "END OF TERMS AND CONDITIONS")),
+    ("BSD-3-Clause", "BSD-3-Clause", ("Redistribution and use",), ()),
+    ("CC-BY-SA-4.0", "CC-BY-SA-4.0", ("Creative Commons Corporation", "Creative Commons Attribution-ShareAlike 4.0 International Public", "By exercising the Licensed Rights"), ("Creative Commons is not a party to its public",)),
+    ("CC0-1.0", "CC0-1.0", ("CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION", "Statement of Purpose"), ()),
+    ("GPL-2.0-only", "GPL-2.0-only", ("Everyone is permitted", "Preamble"), ("How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    ("GPL-2.0-only.spdx", "GPL-2.0-only", ("Everyone is permitted", "Preamble"), ("How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    ("GPL-3.0-only", "GPL-3.0-only", ("Everyone is permitted", "Preamble"), ("How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    ("LGPL-2.1-only", "LGPL-2.1-only", ("Everyone is permitted", "Preamble"), ("How to Apply These Terms", "END OF TERMS AND CONDITIONS")),
+    ("LGPL-3.0-only", "LGPL-3.0-only", ("Everyone is permitted", "This version of the GNU Lesser"), ()),
+    ("MPL-2.0", "MPL-2.0", ("1. Definitions",), ()),
+    ("WTFPL", "WTFPL", ("Everyone is permitted", "0. You just"), ()),
+    ("Zlib", "Zlib", ("This software is provided",), ()),
+)
+
+
+def published_texts() -> list[tuple[str, str]]:
+    """Licence and text for all of TEXTS and PUBLISHED, with their titles and without, with the advice on use and without."""
+    out = []
+    for k, v in TEXTS:
+        lines = textwrap.dedent(v).strip().split("\n")
+        body = "\n".join(lines[1:] if lines[0] in TITLES.get(k, ()) else lines)
+        out += [(k, body)] + [(k, f"{t}\n{body}") for t in TITLES.get(k, ())]
+        if k == "Unlicense":  # copies without the link
+            out += [(k, body[: body.index("For more information")])]
+    for name, k, begins, ends in PUBLISHED:
+        text = pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode("utf-8").replace("\f", "\n").strip()
+        cuts = [0, *[text.index(b) for b in begins]]
+        for end in [len(text), *[text.index(e) for e in ends]]:
+            out += [(k, text[b:end]) for b in cuts]
+        out += [(k, f"{t}\n{text[cuts[1]:]}") for t in TITLES.get(k, ())]
+    return out
+
 
 def _replaced(text: Column, steps) -> Column:
     for pattern, to in steps:
@@ -160,7 +216,8 @@ def _line_form(line: Column) -> Column:
     marked = F.contains(low, F.lit(LINE_MARKS[0]))
     for m in LINE_MARKS[1:]:
         marked = marked | F.contains(low, F.lit(m))
-    return F.trim(_replaced(F.when(marked, _replaced(low, LINES)).otherwise(low), MARKS))
+    kept = F.when(marked, F.when(line.rlike(NOTICE), "").otherwise(_replaced(low, LINES[1:]))).otherwise(low)
+    return F.trim(_replaced(kept, MARKS))
 
 
 def with_forms(df: DataFrame, text: Column) -> DataFrame:
@@ -179,7 +236,7 @@ def with_forms(df: DataFrame, text: Column) -> DataFrame:
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and license of the known texts; of several with one digest, the first by name."""
-    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts or known_texts()])
+    listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts or known_texts() + published_texts()])
     rows = spark.range(1, numPartitions=1).select(F.inline(listed))
     return with_forms(rows, F.col("text")).where("__whole != ''").groupBy(F.sha2("__whole", 256).alias("digest")).agg(F.min("license").alias("license"))
 
@@ -209,7 +266,7 @@ def op1_licences(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL."""
+    """The same in SQL, but for the texts of published_texts() and for NOTICE, in whose place it has the first of LINES."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def form(x: str) -> str:

@@ -1,4 +1,7 @@
 import hashlib
+import pkgutil
+import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -45,3 +48,28 @@ def test_awkward_rows(spark, tmp_path):
     assert {(r.doc_id, r.canonical_sha256) for r in got} == rows and len(got) == len(rows)
     assert all(r.license is None for r in got)
     assert licences.op1_licences(spark, saved(spark, tmp_path, [])).count() == 0
+
+
+def test_published_texts_in_any_wrapping(spark):
+    """Full texts as published, wrapped anew at two widths, with and without title and copyright line."""
+    texts = {k: pkgutil.get_data("murmur.llm", f"licence_texts/{k}.txt").decode() for k in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "BSD-3-Clause", "Zlib", "WTFPL")}
+    body = {k: textwrap.dedent(v).strip().split("\n") for k, v in licences.TEXTS}
+    mit, free = "\n".join(body["MIT"][1:]), " ".join(body["Unlicense"])
+    cases = list(texts.items())
+    cases += [("MIT", mit), ("MIT", "MIT License\n\nCopyright (c) 2024 Some Body\n\n" + mit), ("Unlicense", "\n".join(body["Unlicense"]))]
+    cases += [("Unlicense", free.replace("author or authors ", "author or authors\n").replace("copyright interest in the ", "copyright interest in the\n"))]
+    cases += [("Unlicense", textwrap.fill(free, w)) for w in (60, 72, 79)]
+    cases += [("Apache-2.0", "Copyright 2024 Some Body\n\n" + texts["Apache-2.0"]), ("Apache-2.0", texts["Apache-2.0"].split("   APPENDIX")[0])]
+    # a break before every "copyright" and every "(c)" of the terms puts them first on a line
+    terms = texts["Apache-2.0"][texts["Apache-2.0"].index("TERMS AND") : texts["Apache-2.0"].index("END OF TERMS")]
+    cases += [("Apache-2.0", re.sub(r"[ \n]+(copyright|\(c\))", r"\n\1", terms, flags=re.I))]
+    rows = [(i, t, None, None, None, None, None) for i, (_, t) in enumerate(cases)]
+    got = {r.doc_id: r.license for r in licences.scan(frame(spark, rows), licences.known(spark)).collect()}
+    assert [(i, got[i]) for i in got if got[i] != cases[i][0]] == []
+
+
+def test_only_notices_are_copyright_lines(spark):
+    dropped = ["Copyright (c) 2020 Me", "copyright 1999", "# Copyright: The Authors", "© somebody", "(c) 2001 me", "(C) Some Body and Others", "Copyright Some Body", "COPYRIGHT [yyyy] [name]"]
+    kept = ["copyright interest in the software", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "(c) You must retain, in the Source form", "Copyright License. Subject to the terms", "copyright treaty adopted"]
+    assert form(spark, *dropped) == [""] * len(dropped)
+    assert "" not in form(spark, *kept)
