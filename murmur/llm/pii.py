@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and terms that give the protected entities away.
 
-Patterns find the protected entities. A term beside an entity discloses it by their pointwise mutual information,
-estimated from how often both occur together in the corpus; as a share of the entity's own information (1: who sees
+Patterns find the protected entities. A term in an entity's document discloses it by their pointwise mutual information,
+estimated from how many documents of the corpus hold both; as a share of the entity's own information (1: who sees
 the term knows the entity) it decides whether the term stays, is generalised or is removed. Everything is DataFrame
 expressions.
 """
@@ -28,9 +28,9 @@ TERM = r"\p{L}[\p{L}\p{N}]*+"
 
 #: Lengths of the parts in which running sums are built.
 PART = 256
-#: Code points beside an entity in which terms are looked at.
+#: Code points beside an entity in which the SQL looks at terms; the operator looks at the whole document.
 CONTEXT = 80
-#: Different texts in which an entity, and a term beside it, must occur for the estimate to count.
+#: Different texts in which an entity, and a term with it, must occur for the estimate to count.
 SUPPORT = 3
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -113,48 +113,43 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__id": id_text(F.col(id_col)), "__text": text, "__hash": F.xxhash64(text)})
 
 
-def _beside(docs: DataFrame) -> DataFrame:
-    """A row for each entity in a text: __id, __hash, kind, entity, and the terms beside it as array<struct<start, end,
-    value>>, lower case, whole words only, none inside an entity."""
-    one = docs.where(F.size("__base") > 0).select("__id", "__hash", "__text", "__base", F.explode("__base").alias("span"))
-    begin, end = F.col("span.start"), F.col("span.end")
-    first = F.greatest(begin - CONTEXT, F.lit(0).cast("bigint"))
-    entity = F.when(F.col("span.kind").isin("card", "phone"), _digits(F.col("span.value"))).otherwise(F.lower("span.value"))
-    near = one.select(
-        "__id", "__hash", F.col("span.kind").alias("kind"), entity.alias("entity"), begin.alias("begin"), end.alias("end"), first.alias("first"),
-        F.filter("__base", lambda b: (b["end"] > first) & (b["start"] < end + CONTEXT)).alias("close"),
-        F.substring("__text", (first + 1).cast("int"), (begin - first).cast("int")).alias("before"),
-        F.substring("__text", (end + 1).cast("int"), F.lit(CONTEXT)).alias("after"),
-    )
-    near = occurrences(near, "before", TERM, "left", F.lit(True))
-    near = occurrences(near, "after", TERM, "right", F.lit(True))
-    shifted = lambda c, by: F.transform(c, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("value")))
-    left = F.filter("left", lambda m: (m["start"] > 0) | (F.col("first") == 0))
-    right = F.filter("right", lambda m: m["end"] < CONTEXT)
-    terms = F.concat(shifted(left, F.col("first")), shifted(right, F.col("end")))
-    free = F.filter(terms, lambda m: ~F.exists("close", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    return near.select("__id", "__hash", "kind", "entity", free.alias("terms"))
+def _holders(held: DataFrame) -> DataFrame:
+    """__id, __hash, kind, entity, n_e for each entity that occurs in SUPPORT different texts, and each row that holds
+    it; n_e: the rows that do. held: the rows with entities."""
+    span = F.col("span")
+    entity = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
+    one = held.select("__id", "__hash", F.explode("__base").alias("span")).select("__id", "__hash", span["kind"].alias("kind"), entity.alias("entity")).distinct()
+    one = written(one, "pii-entities")
+    strong = one.groupBy("kind", "entity").agg(F.countDistinct("__hash").alias("texts"), F.count(F.lit(1)).alias("n_e")).where(F.col("texts") >= SUPPORT)
+    return one.join(strong.drop("texts"), ["kind", "entity"]).select("__id", "__hash", "kind", "entity", "n_e")
+
+
+def _words(held: DataFrame) -> DataFrame:
+    """__id, __hash and __words: the terms anywhere in the text as array<struct<start, end, value>>, lower case, none
+    inside an entity."""
+    found = occurrences(held, "__text", TERM, "words", F.lit(True))
+    free = F.filter("words", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    return found.select("__id", "__hash", F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"))).alias("__words"))
 
 
-def disclosures(docs: DataFrame, beside: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame, holders: DataFrame, words: DataFrame) -> DataFrame:
     """kind, entity, term, share, action for every term that discloses an entity, from all of docs (keyed).
 
     share is the mutual information of term and entity over the entity's information, log2 of inverse frequencies of
     documents. Entities and pairs in fewer than SUPPORT different texts give no estimate. Frequencies of terms are
-    counted over every document.
+    counted over every document, and so is how often they occur with the entity.
     """
     n = docs.count()
-    entities = beside.groupBy("kind", "entity", "__hash").agg(F.countDistinct("__id").alias("rows")).groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_e"))
-    strong = entities.where(F.col("texts") >= SUPPORT).select("kind", "entity", "n_e")
-    pairs = beside.join(strong, ["kind", "entity"]).select("kind", "entity", "n_e", "__id", "__hash", F.explode(F.array_distinct(F.transform("terms", lambda t: t["value"]))).alias("term"))
+    terms = words.select("__id", "__hash", F.explode(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("term"))
+    pairs = terms.join(holders, ["__id", "__hash"])
     pairs = pairs.groupBy("kind", "entity", "n_e", "term", "__hash").agg(F.countDistinct("__id").alias("rows")).groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_te"))
     pairs = written(pairs.where(F.col("texts") >= SUPPORT).drop("texts"), "pii-pairs")
     wanted = written(pairs.select("term").distinct(), "pii-terms")
     few = wanted.count()
     if few:
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
+        every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
         count = lambda w: w.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-        seen = count(words.join(F.broadcast(wanted), "term", "left_semi")) if few <= BROADCAST_TERMS else count(words).join(wanted, "term", "left_semi")
+        seen = count(every.join(F.broadcast(wanted), "term", "left_semi")) if few <= BROADCAST_TERMS else count(every).join(wanted, "term", "left_semi")
         pairs = pairs.join(seen, "term")
     else:
         pairs = pairs.withColumn("n_t", F.col("n_te"))
@@ -174,12 +169,14 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     keyed = _keyed(docs, id_col, text_col)
     spanned = base_spans(keyed, "__text", "__base")
-    beside = written(_beside(spanned), "pii-beside")
-    found = written(disclosures(keyed, beside), "pii-disclosures")
-    told = beside.select("__id", "__hash", "kind", "entity", F.explode("terms").alias("t")).withColumn("term", F.col("t.value")).join(found.drop("share"), ["kind", "entity", "term"])
+    held = written(spanned.where(F.size("__base") > 0).select("__id", "__hash", "__text", "__base"), "pii-held")
+    holders = written(_holders(held), "pii-holders")
+    words = written(_words(held.join(holders.select("__id", "__hash").distinct(), ["__id", "__hash"], "left_semi")), "pii-words")
+    found = written(disclosures(keyed, holders, words), "pii-disclosures")
+    # a term that discloses several of a document's entities takes the stronger action
+    told = holders.join(found, ["kind", "entity"]).groupBy("__id", "__hash", "term").agg(F.max("action").alias("value"))
+    told = words.select("__id", "__hash", F.explode("__words").alias("t")).distinct().withColumn("term", F.col("t.value")).join(told, ["__id", "__hash", "term"])
     span = F.struct(F.col("t.start").alias("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("t.end").alias("end"), F.lit("term").alias("kind"), F.col("value"))
-    # a term beside several entities takes the stronger action
-    told = told.groupBy("__id", "__hash", "t").agg(F.max("action").alias("value"))
     extra = written(told.select("__id", "__hash", span.alias("span")).groupBy("__id", "__hash").agg(F.array_sort(F.collect_list("span")).alias("__terms")), "pii-spans")
     none = F.array().cast(extra.schema["__terms"].dataType)
     return spanned.join(extra, ["__id", "__hash"], "left").withColumn("__terms", F.coalesce("__terms", none)).drop("__id", "__hash")
@@ -224,7 +221,7 @@ PLAIN = {
 
 
 def _sql() -> str:
-    """The same in SQL."""
+    """The same in SQL, but for terms that stand more than CONTEXT code points from the entity, which it leaves out."""
 
     def places(source: str, text: str, pattern: str) -> str:
         """source's columns with s, e, v of each match."""

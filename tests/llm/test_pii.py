@@ -99,3 +99,20 @@ def test_sanitised_texts(spark):
     assert got[0] == corpus()[0][1] and got[200] == "zanzibar alone"
     assert re.fullmatch(r"text0 (\[TERM\])? (\[TERM\])? common \[EMAIL\] the end0", got[100])
     assert pii.sanitise(docs).schema == docs.schema
+
+
+def test_terms_far_from_the_entity(spark):
+    """A disclosing term is counted, and marked wherever it stands, in the whole document of the entity."""
+    from .helpers import frame
+
+    far = "filler " * 40
+    rows = [(i, f"filler number{i} and more", "en", "a", 1, "", "") for i in range(60)]
+    rows += [(100 + i, f"person@mail.org text{i} zanzibar {far}zanzibar and {far}quagga then Zanzibar.", "en", "a", 1, "", "") for i in range(4)]
+    rows += [(104, "person@mail.org text4 zanzibar. person@mail.org zanzibar", "en", "a", 1, "", "")]
+    got = {r.doc_id: (r.__getitem__("__text"), r.__getitem__("__terms")) for r in pii.find(frame(spark, rows)).collect()}
+    for i in range(4):
+        text, spans = got[100 + i]
+        assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(r"(?i)\b(zanzibar|quagga|then)\b", text)]
+    assert [s.value for s in got[104][1]] == ["remove", "remove"]
+    texts = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any("anzibar" in texts[100 + i] for i in range(5))
