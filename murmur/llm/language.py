@@ -29,6 +29,8 @@ RUN = 96
 CHARS_AT_ONCE = 2_000_000
 #: Each character's factor in the forward sums, about the inverse of its usual probability: keeps them within doubles.
 SCALE = 64.0
+#: Sums that are all below this are scaled up, which long runs of rare characters need in spite of SCALE.
+SMALL = 1e-100
 #: Probability of a character that is in no piece, in every language.
 UNKNOWN = 1e-7
 
@@ -97,6 +99,17 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield some, codes.astype(np.int64)
 
 
+def _scaled_up(sums: np.ndarray, i: int) -> np.ndarray | None:
+    """Divides the sums from position i on, where all of them are below SMALL, by the largest; the divisors' logs."""
+    if not (low := sums[i] < SMALL).any():
+        return None
+    by = np.ones(low.shape)
+    most = sums[i:, low].max(0)
+    by[low] = np.where((most > 0) & (most < SMALL), most, 1)
+    sums[i:] /= by
+    return np.log(by)
+
+
 def word_scores(pieces: Pieces, words: list[str], chance: np.ndarray) -> np.ndarray:
     """The log probability of each word (rows) in each language; chance: (pieces + 1, languages)."""
     out = np.empty((len(words), chance.shape[1]))
@@ -104,10 +117,13 @@ def word_scores(pieces: Pieces, words: list[str], chance: np.ndarray) -> np.ndar
         length = codes.shape[1]
         forward = np.zeros((length + 1, len(at), chance.shape[1]))
         forward[0] = 1
+        log = 0.0
         for i, found in enumerate(pieces.lattice(codes)):
+            if (by := _scaled_up(forward, i)) is not None:
+                log = log + by
             for rows, j, piece in found:
                 forward[j][rows] += forward[i][rows] * chance[piece] * SCALE ** (j - i)
-        out[at] = np.log(forward[length]) - length * np.log(SCALE)
+        out[at] = np.log(forward[length]) + log - length * np.log(SCALE)
     return out
 
 
@@ -121,16 +137,21 @@ def expected_counts(pieces: Pieces, words: list[str], lang: np.ndarray, count: n
         forward = np.zeros((length + 1, len(at)))
         backward = np.zeros((length + 1, len(at)))
         forward[0] = backward[length] = 1
+        log = np.zeros((length + 1, len(at)))  # of the divisors at each position; the backward sums take the same
         for i, found in enumerate(edges):
+            if (by := _scaled_up(forward, i)) is not None:
+                log[i] = by
             for rows, j, piece in found:
                 forward[j][rows] += forward[i][rows] * chance[piece, l[rows]] * SCALE ** (j - i)
+        scaled, log = log.any(), log.cumsum(0)
+        lifted = lambda i, j, rows: np.exp(log[i, rows] - log[j, rows]) if scaled else 1.0
         for i in range(length - 1, -1, -1):
             for rows, j, piece in edges[i]:
-                backward[i][rows] += backward[j][rows] * chance[piece, l[rows]] * SCALE ** (j - i)
+                backward[i][rows] += backward[j][rows] * chance[piece, l[rows]] * SCALE ** (j - i) * lifted(i, j, rows)
         weight = count[at] / forward[length]
         for i, found in enumerate(edges):
             for rows, j, piece in found:
-                w = weight[rows] * forward[i][rows] * chance[piece, l[rows]] * SCALE ** (j - i) * backward[j][rows]
+                w = weight[rows] * forward[i][rows] * chance[piece, l[rows]] * SCALE ** (j - i) * lifted(i, j, rows) * backward[j][rows]
                 out += np.bincount(piece * k + l[rows], w, out.size)
     return out.reshape(chance.shape)
 

@@ -73,3 +73,39 @@ def test_filter_keeps_columns(spark):
     kept = language.keep_identified(docs, language.learn(docs, path), path)
     assert kept.schema == docs.schema
     assert {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_long_runs_of_rare_letters():
+    """Sums over runs of up to RUN letters with no piece, or with improbable ones, stay numbers."""
+    p = language.load(language.pieces_path())
+    rng = np.random.default_rng(1)
+    chance = rng.random((p.size + 1, 3)) * 1e-3
+    chance[p.size] = language.UNKNOWN
+    odd = "ሀለሐመሠረሰ"  # no piece has these
+    words = [odd * 20, "a" + (odd * 14)[:95], "the" + (odd * 13)[:89] + "tion", "abcdefgh" * 12]
+    words = [w[: language.RUN] for w in words]
+    got = language.word_scores(p, words, chance)
+    assert np.isfinite(got).all()
+    begin = language.word_scores(p, [""], chance)[0]
+    np.testing.assert_allclose(got[0], begin + language.RUN * np.log(language.UNKNOWN), rtol=1e-12)
+    parts = language.word_scores(p, [words[2][:3]], chance)[0]  # the rare letters part the rest, so the sums multiply
+    end = language.word_scores(p, [words[2][:3] + odd[:1] + "tion"], chance)[0] - parts - np.log(language.UNKNOWN)
+    np.testing.assert_allclose(got[2], parts + (len(words[2]) - 7) * np.log(language.UNKNOWN) + end, rtol=1e-12)
+    low = np.full_like(chance, 1e-12)
+    assert np.isfinite(language.word_scores(p, words, low)).all()
+    for table in (chance, low):
+        counts = language.expected_counts(p, words, np.arange(4) % 3, np.ones(4), table)
+        assert np.isfinite(counts).all() and counts.min() >= 0
+    length = np.array([len(t) for t in piece_texts(p)] + [1])
+    counts = language.expected_counts(p, words, np.arange(4) % 3, np.ones(4), chance)
+    assert math.isclose((counts.sum(1) * length).sum(), sum(len(w) + 1 for w in words), rel_tol=1e-9)
+    model = (["a", "b", "c"], chance)
+    name, score = language._predict(["a long clean page " * 50 + words[0]], *model, p)
+    assert name[0] in "abc" and 0 < score[0] <= 1
+
+
+def piece_texts(p):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=language.pieces_path())
+    return [model.id_to_piece(i) for i in range(p.size)]
