@@ -5,6 +5,8 @@ Doubles are rounded on both sides, as sums in another order differ in their last
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -635,7 +637,7 @@ def event_windows(spark, sf):
 # -- whole runs -------------------------------------------------------------------------------------------------------------
 
 
-def _problem(spark, sf, label: int = 0) -> assimilation.Problem:
+def _problem(spark, sf, label: int) -> assimilation.Problem:
     """A twin experiment: a label's members, linear data at a few cells of the first member."""
     x = state_long(spark, sf).where(F.col("label") == label)
     first = x.agg(F.min("member")).first()[0]
@@ -648,6 +650,12 @@ def _problem(spark, sf, label: int = 0) -> assimilation.Problem:
     return assimilation.Problem(state, forward, obs, n)
 
 
+def _each_label(spark, sf, run) -> DataFrame:
+    """The rows of run(label) for every label of the table, with the label."""
+    labels = sorted(r[0] for r in state_long(spark, sf).select("label").distinct().collect())
+    return functools.reduce(DataFrame.unionByName, [run(k).select(F.lit(k).alias("label"), "*") for k in labels])
+
+
 def _posterior(result) -> DataFrame:
     mean = statistics.mean_of(F.col("x"))
     spread = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (F.size("x") - 1))
@@ -656,49 +664,56 @@ def _posterior(result) -> DataFrame:
 
 @query()
 def esmda_approx(spark, sf):
-    return _posterior(assimilation.esmda(_problem(spark, sf), prior.inflation(3, [2.0, 4.0, 4.0])).state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.esmda(_problem(spark, sf, k), prior.inflation(3, [2.0, 4.0, 4.0])).state))
 
 
 @query()
 def es_subspace(spark, sf):
-    return _posterior(assimilation.es(_problem(spark, sf), "subspace").state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.es(_problem(spark, sf, k), "subspace").state))
 
 
 @query()
 def enkf_sequential(spark, sf):
-    return _posterior(assimilation.enkf(_problem(spark, sf), [[1, 8], [21], [40, 63]]).state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.enkf(_problem(spark, sf, k), [[1, 8], [21], [40, 63]]).state))
 
 
 @query()
 def lmenrml_approx(spark, sf):
-    return _posterior(assimilation.lm_enrml(_problem(spark, sf), max_iter=3).state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.lm_enrml(_problem(spark, sf, k), max_iter=3).state))
 
 
 @query()
 def gnenrml_subspace2(spark, sf):
-    return _posterior(assimilation.gn_enrml(_problem(spark, sf), "subspace2", max_iter=3).state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.gn_enrml(_problem(spark, sf, k), "subspace2", max_iter=3).state))
 
 
 @query()
 def gies_rlmmac(spark, sf):
-    return _posterior(assimilation.gies(_problem(spark, sf), max_iter=2).state)
+    return _each_label(spark, sf, lambda k: _posterior(assimilation.gies(_problem(spark, sf, k), max_iter=2).state))
 
 
 @query()
 def local_analysis(spark, sf):
-    p = _problem(spark, sf)
-    data = p.data(p.state, "local").withColumn("datum", F.row_number().over(W.orderBy("report")) - 1)
-    at = data.select("datum", (F.col("report") / SIDE).cast("int").alias("j"), (F.col("report") % SIDE).alias("i"))
-    near = localization.within_radius(grid_cells(spark), at, 3.0).select(F.lit("x").alias("param"), "cell", "datum", F.lit(1.0).alias("rho"))
-    return _posterior(localization.local_update(p.state, data, near))
+    def run(label):
+        p = _problem(spark, sf, label)
+        data = p.data(p.state, "local").withColumn("datum", F.row_number().over(W.orderBy("report")) - 1)
+        at = data.select("datum", (F.col("report") / SIDE).cast("int").alias("j"), (F.col("report") % SIDE).alias("i"))
+        near = localization.within_radius(grid_cells(spark), at, 3.0).select(F.lit("x").alias("param"), "cell", "datum", F.lit(1.0).alias("rho"))
+        return _posterior(localization.local_update(p.state, data, near))
+
+    return _each_label(spark, sf, run)
 
 
 @query()
 def gram_matrix(spark, sf):
     """Members x members products, summed where the data are."""
-    p = _problem(spark, sf)
-    g = gram.data_grams(p.data(p.state, "gram")).g
-    return rounded(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(g)], "i int, j int, g double"))
+
+    def run(label):
+        p = _problem(spark, sf, label)
+        g = gram.data_grams(p.data(p.state, "gram")).g
+        return rounded(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(g)], "i int, j int, g double"))
+
+    return _each_label(spark, sf, run)
 
 
 @query()

@@ -44,3 +44,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["es_subspace", "local_analysis", "gram_matrix"])
+def test_every_label_is_there(spark, sf, db, name):
+    """Members of every label, not of one."""
+    labels = {r[0] for r in db.sql("select distinct label from embeddings").fetchall()}
+    got = queries.QUERIES[name](spark, sf)
+    assert len(labels) > 1 and {r[0] for r in got.select("label").distinct().collect()} == labels
