@@ -10,13 +10,13 @@ probability (1 - 0.8^8)^76, below one in a million; a pair at 0.3 shares one wit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, sections, small_batches, written
@@ -27,7 +27,6 @@ BYTES_AT_ONCE = 500_000
 ROWS, GROUPS = 8, 38
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,22 +39,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles of many texts at once, from their UTF-8 bytes."""
 
+    #: Words longer than this are hashed one by one, by BLAKE2b.
+    LONG = 256
+
     def __init__(self, words: int) -> None:
         self.words = words
-        self.byte = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-        upper = np.arange(65, 91)
-        self.byte[upper] = self.byte[upper + 32]
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         self.space = np.zeros(256, bool)
         self.space[[32, *range(9, 14)]] = True
-        self.power = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.power) < n:
-            ups = np.full(n, np.uint64(_BASE))
-            downs = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
-            ups[0] = downs[0] = 1
-            self.power, self.inverse = np.cumprod(ups), np.cumprod(downs)
-        return self.power[:n], self.inverse[:n]
+        self.mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def word_hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The hash of each word of the lower-cased data: its length and its bytes, 8 at a time, each mixed in."""
+        size = stop - start
+        value = _mix(size.astype(np.uint64) * _ODD)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        todo, k = np.flatnonzero(size <= self.LONG), 0
+        while len(todo):
+            block = padded[(start[todo] + 8 * k)[:, None] + np.arange(8)].view("<u8")[:, 0]
+            left = size[todo] - 8 * k
+            value[todo] = _mix(value[todo] * _ODD + (block & self.mask[np.minimum(left, 8)]) + np.uint64(k + 1))
+            todo, k = todo[left > 8], k + 1
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            digest = hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=8).digest()
+            value[i] = int.from_bytes(digest, "little")
+        return value
 
     def sets(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """The sorted distinct shingles (uint64) of each text; data: all texts' bytes, ends: where each ends."""
@@ -70,9 +79,7 @@ class Shingler:
         start = np.flatnonzero(is_word & (~before | edge[:-1]))
         after = np.concatenate([is_word[1:], [False]])
         stop = np.flatnonzero(is_word & (~after | edge[1:])) + 1
-        up, down = self._powers(n + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[data] * up[:n])])
-        word = _mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * _ODD)
+        word = self.word_hashes(self.lower[data], start, stop)
         first = np.searchsorted(start, begins)
         last = np.append(first[1:], len(start))
         count = last - first
@@ -225,6 +232,41 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(pick, "doc_id long, token long, place long")
 
 
+def _in_runs(banded: DataFrame) -> DataFrame:
+    """band, doc_id, n, hub, hub_n, prev, prev_n, border of the rows (band, doc_id, n) whose band has several, with some
+    that are alone in theirs: hub is the first of the band's rows (by id) in a range, prev the one before.
+
+    Rows are dealt by ranges of band and id, so that a band of any size is spread over as many tasks as its rows call
+    for. Where a range begins or ends within a band (border), the band's hubs are to be held against each other."""
+
+    names = ["band", "doc_id", "n", "hub", "hub_n", "prev", "prev_n", "border"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = np.zeros((8, 0), np.int64), None  # the last row, kept back until the next is known, and whether it goes on its band
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.concatenate([held[:3], np.array([np.asarray(c) for c in batch.columns])], 1)
+            first = rows[0, 0] if first is None else first
+            goes_on = np.concatenate([[False], rows[0, 1:] == rows[0, :-1]])
+            at = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(goes_on))))
+            hub, prev = rows[1:, at], np.where(goes_on, np.roll(rows[1:], 1, 1), rows[1:])
+            if held.shape[1]:
+                hub[:, at == 0], prev[:, 0], goes_on[0] = held[3:5], held[5:7, 0], held[7, 0]
+            border = rows[0] == first
+            out = np.concatenate([rows, hub, prev, [np.where(np.arange(len(border)) < len(border) - 1, border, goes_on)]])
+            several = (goes_on | np.append(goes_on[1:], False) | border)[:-1]
+            held = out[:, -1:]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:7, :-1][:, several]), pa.array(out[7, :-1][several].astype(bool))], names)
+        if held.shape[1]:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, held[:7]), pa.array([True])], names)
+
+    spark = banded.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = banded.select("band", "doc_id", "n").repartitionByRange(parts, "band", "doc_id").sortWithinPartitions("band", "doc_id")
+    return dealt.mapInArrow(run, "band long, doc_id long, n long, hub long, hub_n long, prev long, prev_n long, border boolean")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -232,7 +274,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     what links reach, its id the smallest doc_id in it, and kept is the row of that id.
 
     Documents with equal sets stand as one, the one of the smallest id. In each band bucket every member is compared
-    with the smallest member and with the one before it. Then, of buckets whose members are still in several
+    with the smallest member and with the one before it, in the part of the bucket that its task has, and the parts'
+    smallest with the smallest of all. Then, of buckets whose members are still in several
     components, the members outside the most frequent one are held against all members of such buckets by exact
     prefix filtering: similar sets share one of their rarest shingles, early enough in both that the rest suffices.
     So no link between components is left unseen, whatever a bucket's size, and the pairs inside a group of near
@@ -240,7 +283,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
     A null or blank text has an empty set and links with nothing. A text of fewer words than a shingle is one shingle.
     A row with a null id links with nothing, has a null component and is kept. Rows that repeat an id are one document
-    and get the same component each. Other columns are ignored; an empty table gives no rows.
+    whatever text links it: with equal texts they get the same component each, with several texts each gets that of its
+    own. Other columns are ignored; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession, "near") as scratch:
         small_batches(docs.sparkSession)
@@ -248,20 +292,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         found = scratch.written(signatures(docs, words, id_col, text_col), "signatures")
         sets = found.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
         groups = scratch.written(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("stand"), F.max("doc_id").alias("last")).where("stand <> last"), "groups")
-        copies = scratch.written(sets.select("doc_id", "set_a", "set_b").join(groups, ["set_a", "set_b"]).where("doc_id <> stand").select("doc_id", "stand"), "copies")
-        banded = sets.join(copies, "doc_id", "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-
-        row = F.struct("doc_id", "n")
-        by_id = W.partitionBy("band").orderBy("doc_id")
-        members = scratch.written(
-            banded.select(
-                "band", "doc_id", "n", F.first(row).over(by_id).alias("hub"), F.lag(row).over(by_id).alias("prev"),
-                F.last("doc_id").over(by_id.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"),
-            ).where(F.col("hub.doc_id") != F.col("last")),
-            "members",
-        )
-        against = lambda c: members.where(F.col(f"{c}.doc_id") != F.col("doc_id")).where(compatible(F.col("n"), F.col(f"{c}.n"))).select(F.col(f"{c}.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        tried = scratch.written(against("hub").union(against("prev")).distinct(), "pairs")
+        copies = scratch.written(sets.select("doc_id", "set_a", "set_b").join(groups.drop("last"), ["set_a", "set_b"]).where("doc_id <> stand").distinct(), "copies")
+        banded = sets.join(copies, ["doc_id", "set_a", "set_b"], "left_anti").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+
+        members = scratch.written(_in_runs(banded), "members")
+        # a band that ranges part has a hub in each; all are held against the first of them
+        parted = members.where("border").select("band", "hub", "hub_n").distinct()
+        hubs = parted.groupBy("band").agg(F.min(F.struct("hub", "hub_n")).alias("first"))
+        between = parted.join(hubs, "band").select(F.col("first.hub").alias("a"), F.col("first.hub_n").alias("a_n"), F.col("hub").alias("b"), F.col("hub_n").alias("b_n"))
+        within = [members.select(F.col(c).alias("a"), F.col(f"{c}_n").alias("a_n"), F.col("doc_id").alias("b"), F.col("n").alias("b_n")) for c in ("hub", "prev")]
+        tried = between.union(within[0]).union(within[1]).where(F.col("a") != F.col("b")).where(compatible(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+        tried = scratch.written(tried, "pairs")
         ids = lambda pairs: scratch.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
         links = scratch.written(_confirmed(tried, scratch.written(_sets(ids(tried), docs, words, id_col, text_col), "near-sets"), percent), "links")
         labels = components(links, scratch)
@@ -286,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
                 labels = components(links.union(extra), scratch)
 
         result = (
-            found.select("doc_id", "n_shingles").join(copies.distinct(), "doc_id", "left").withColumn("stand", F.coalesce("stand", "doc_id"))
+            found.select("doc_id", "n_shingles", "set_a", "set_b").join(copies, ["doc_id", "set_a", "set_b"], "left").withColumn("stand", F.coalesce("stand", "doc_id"))
             .join(labels.select(F.col("node").alias("stand"), "component"), "stand", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "stand").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -87,3 +87,46 @@ def test_components_of_a_long_chain(spark):
     with Scratch(spark, "test") as scratch:
         got = dict(components(links, scratch).collect())
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1500: 1000, 2000: 1000}
+
+
+def test_runs_of_a_band_that_ranges_part(spark):
+    rng = random.Random(3)
+    sizes = {5: 1, 7: 4000, 8: 2, 11: 1, 12: 900, 20: 1}
+    rows = [(b, i, 10 + i % 7) for b, m in sizes.items() for i in rng.sample(range(10_000), m)]
+    got = near_dedup._in_runs(spark.createDataFrame(rows, "band long, doc_id long, n long")).collect()
+    n = {(b, i): k for b, i, k in rows}
+    seen = [(r.band, r.doc_id) for r in got]
+    assert len(set(seen)) == len(seen) and {(b, i) for b, i, _ in rows if sizes[b] > 1} <= set(seen) <= set(n)
+    assert all((r.n, r.hub_n, r.prev_n) == (n[r.band, r.doc_id], n[r.band, r.hub], n[r.band, r.prev]) and r.hub <= r.prev <= r.doc_id for r in got)
+    for band in sizes:
+        mine = sorted((r.doc_id, r.hub, r.prev, r.border) for r in got if r.band == band)
+        hubs = sorted({h for _, h, _, _ in mine})
+        assert not mine or hubs[0] == mine[0][0]
+        assert len(hubs) < 2 or {h for _, h, _, b in mine if b} == set(hubs)  # each range's hub shows at its border
+        for (before, h, _, _), (_, k, p, _) in zip(mine, mine[1:]):
+            assert p == before if h == k else k > before
+
+
+def test_one_family_of_many_near_copies(spark):
+    """50,000 texts that differ in one word, or two, of 60, beside others."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:20], f"n{i}", *base[20:]])) for i in range(1, 50_001)]
+    rows += [(60_000 + i, " ".join(rng.choice(base) for _ in range(60))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=2).select("doc_id", "component_id").collect()}
+    assert all(got[i] == (1 if i < 60_000 else i) for i, _ in rows)
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    """Words of two letters in Thue-Morse order and their complements differ."""
+    import numpy as np
+
+    bits = "ab"
+    while len(bits) < 4096:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    words = [bits[:k] for k in (64, 200, 256, 257, 1024, 4096)]
+    words += [w.translate(str.maketrans("ab", "ba")) for w in words]
+    raw = [w.encode() for w in words]
+    sets = near_dedup.Shingler(2).sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
+    assert len({int(s[0]) for s in sets}) == len(words)
