@@ -23,8 +23,10 @@ from .tables import Table
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 HAS_LETTER = regex.compile(r"\p{L}")
 
-#: A run of more letters is scored as runs of this many.
-RUN = 96
+#: Longer words are summed position by position, in logarithms; shorter ones many at once. The sums are the same.
+LONG = 64
+#: Positions of a long word whose pieces are looked up at once.
+BLOCK = 4096
 #: Characters per chunk of texts; bounds a worker's memory, not its results.
 CHARS_AT_ONCE = 2_000_000
 #: Each character's factor in the forward sums, about the inverse of its usual probability: keeps them within doubles.
@@ -51,6 +53,7 @@ class Pieces:
                     nodes[text[:i]] = len(ends)
                     ends.append(-1)
             ends[nodes[text]] = texts[text]
+        self.longest = max(map(len, texts), default=1)
         self.ends = np.array(ends, np.int64)
         inner = {t for t in nodes if t}
         self.steps = Table(np.array([(nodes[t[:-1]] << 21) | ord(t[-1]) for t in inner], np.int64), np.array([nodes[t] for t in inner], np.int32))
@@ -76,27 +79,76 @@ class Pieces:
             out.append(found)
         return out
 
+    def ending(self, codes: np.ndarray, begin: int, stop: int) -> np.ndarray:
+        """For a word's code points: the piece that ends before position j and is d + 1 characters long, at
+        [j - begin - 1, d], for begin < j <= stop; -1 where there is none."""
+        first = max(0, begin - self.longest + 1)
+        out = np.full((stop - begin, self.longest), -1, np.int64)
+        start, node = np.arange(first, stop), np.zeros(stop - first, np.int64)
+        for d in range(self.longest):
+            inside = start + d < stop
+            start, node = start[inside], node[inside]
+            step = self.steps.get((node << 21) | codes[start + d])
+            piece = np.where(step >= 0, self.ends[step], -1)
+            if d == 0:
+                piece = np.where(piece >= 0, piece, self.size)
+            at = start + d - begin
+            put = (piece >= 0) & (at >= 0)
+            out[at[put], d] = piece[put]
+            live = step >= 0
+            start, node = start[live], step[live].astype(np.int64)
+        return out
+
 
 def load(path: str) -> Pieces:
     return held(("pieces", path), lambda: Pieces(path))
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters in lower case, none longer than RUN."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > RUN for w in found):
-        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return found
+    """The runs of letters in lower case."""
+    return LETTERS.findall(text.lower())
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of n letters, with the word-begin mark."""
+    return np.array(["▁" + w for w in words], dtype=f"<U{n + 1}").view(np.uint32).reshape(len(words), n + 1).astype(np.int64)
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and code points (with the word-begin mark) of the words of each length."""
+    """Numbers and code points of the words of each length up to LONG."""
     length = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(length):
+    for n in np.unique(length[length <= LONG]):
         at = np.flatnonzero(length == n)
-        for some in np.array_split(at, 1 + len(at) // 50_000):
-            codes = np.array(["▁" + words[i] for i in some], dtype=f"<U{n + 1}").view(np.uint32).reshape(len(some), n + 1)
-            yield some, codes.astype(np.int64)
+        for some in np.array_split(at, 1 + len(at) * (n + 1) // 500_000):
+            yield some, _codes([words[i] for i in some], n)
+
+
+def _long(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and code points of each word longer than LONG."""
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            yield i, _codes([w], len(w))[0]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    most = x.max(0)
+    return most + np.log(np.exp(x - most).sum(0))
+
+
+def _log_forward(pieces: Pieces, codes: np.ndarray, log_chance: np.ndarray) -> np.ndarray:
+    """The log probability of each beginning of a word in each language: (positions + 1, languages)."""
+    n, depth = len(codes), pieces.longest
+    out = np.full((depth + n + 1, log_chance.shape[1]), -np.inf)  # `depth` rows before position 0
+    out[depth] = 0
+    none = np.full((1, log_chance.shape[1]), -np.inf)
+    chance = np.concatenate([log_chance, none])  # the last row is that of no piece
+    for begin in range(0, n, BLOCK):
+        ends = pieces.ending(codes, begin, min(n, begin + BLOCK))
+        weight = chance[ends]  # [position, d, language]; -1 is the last row
+        for k in range(len(ends)):
+            j = depth + begin + k + 1
+            out[j] = _log_sum(out[j - 1 : j - 1 - depth : -1] + weight[k])
+    return out[depth:]
 
 
 def _scaled_up(sums: np.ndarray, i: int) -> np.ndarray | None:
@@ -124,6 +176,8 @@ def word_scores(pieces: Pieces, words: list[str], chance: np.ndarray) -> np.ndar
             for rows, j, piece in found:
                 forward[j][rows] += forward[i][rows] * chance[piece] * SCALE ** (j - i)
         out[at] = np.log(forward[length]) + log - length * np.log(SCALE)
+    for i, codes in _long(words):
+        out[i] = _log_forward(pieces, codes, np.log(chance))[-1]
     return out
 
 
@@ -153,6 +207,27 @@ def expected_counts(pieces: Pieces, words: list[str], lang: np.ndarray, count: n
             for rows, j, piece in found:
                 w = weight[rows] * forward[i][rows] * chance[piece, l[rows]] * SCALE ** (j - i) * lifted(i, j, rows) * backward[j][rows]
                 out += np.bincount(piece * k + l[rows], w, out.size)
+    for at, codes in _long(words):
+        l, n, depth = lang[at], len(codes), pieces.longest
+        log_chance = np.append(np.log(chance[:, l]), -np.inf)
+        forward = _log_forward(pieces, codes, log_chance[:-1, None])[:, 0]
+        backward = np.full(n + 1 + depth, -np.inf)  # `depth` positions behind the last
+        backward[n] = 0
+        for begin in reversed(range(0, n, BLOCK)):
+            stop = min(n, begin + BLOCK)
+            # pieces by where they begin, from those that end in this block or up to `depth` behind it
+            until = min(n, stop + depth - 1)
+            ends = pieces.ending(codes, begin, until)
+            starts = np.full((stop - begin, depth), -1)
+            for d in range(depth):
+                j = np.arange(begin + d, min(stop + d, until))
+                starts[j - d - begin, d] = ends[j - begin, d]
+            weight = log_chance[starts]
+            for i in range(stop - 1, begin - 1, -1):
+                backward[i] = _log_sum(backward[i + 1 : i + 1 + depth] + weight[i - begin])
+            i, d = np.nonzero(starts >= 0)
+            w = np.exp(forward[begin + i] + weight[i, d] + backward[begin + i + d + 1] - forward[n])
+            out += np.bincount(starts[i, d] * k + l, w * count[at], out.size)
     return out.reshape(chance.shape)
 
 

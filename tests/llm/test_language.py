@@ -76,18 +76,18 @@ def test_filter_keeps_columns(spark):
 
 
 def test_long_runs_of_rare_letters():
-    """Sums over runs of up to RUN letters with no piece, or with improbable ones, stay numbers."""
+    """Sums over runs of letters with no piece, or with improbable ones, stay numbers."""
     p = language.load(language.pieces_path())
     rng = np.random.default_rng(1)
     chance = rng.random((p.size + 1, 3)) * 1e-3
     chance[p.size] = language.UNKNOWN
     odd = "ሀለሐመሠረሰ"  # no piece has these
     words = [odd * 20, "a" + (odd * 14)[:95], "the" + (odd * 13)[:89] + "tion", "abcdefgh" * 12]
-    words = [w[: language.RUN] for w in words]
+    words = [w[:96] for w in words]
     got = language.word_scores(p, words, chance)
     assert np.isfinite(got).all()
     begin = language.word_scores(p, [""], chance)[0]
-    np.testing.assert_allclose(got[0], begin + language.RUN * np.log(language.UNKNOWN), rtol=1e-12)
+    np.testing.assert_allclose(got[0], begin + 96 * np.log(language.UNKNOWN), rtol=1e-12)
     parts = language.word_scores(p, [words[2][:3]], chance)[0]  # the rare letters part the rest, so the sums multiply
     end = language.word_scores(p, [words[2][:3] + odd[:1] + "tion"], chance)[0] - parts - np.log(language.UNKNOWN)
     np.testing.assert_allclose(got[2], parts + (len(words[2]) - 7) * np.log(language.UNKNOWN) + end, rtol=1e-12)
@@ -109,3 +109,46 @@ def piece_texts(p):
 
     model = sentencepiece.SentencePieceProcessor(model_file=language.pieces_path())
     return [model.id_to_piece(i) for i in range(p.size)]
+
+
+def test_long_words_are_summed_whole():
+    """Long words give the sums of the many-at-once way; parts between rare letters multiply."""
+    p = language.load(language.pieces_path())
+    rng = np.random.default_rng(4)
+    chance = rng.random((p.size + 1, 3)) * 1e-3
+    chance[p.size] = language.UNKNOWN
+    words = ["internationalisation" * 4, "漢字仮名交文章" * 14, "ภาษาไทยเป็นภาษา" * 9, "ሀለሐመሠረሰ" * 30, "a" * 65, "the" * 30]
+    whole = language.word_scores(p, words, chance)
+    counts = language.expected_counts(p, words, np.array([0, 1, 2, 0, 1, 2]), np.arange(1.0, 7.0), chance)
+    assert np.isfinite(whole).all() and np.isfinite(counts).all() and counts.min() >= 0
+    before, language.LONG = language.LONG, 10**9
+    try:
+        np.testing.assert_allclose(whole, language.word_scores(p, words, chance), rtol=1e-9)
+        np.testing.assert_allclose(counts, language.expected_counts(p, words, np.array([0, 1, 2, 0, 1, 2]), np.arange(1.0, 7.0), chance), rtol=1e-7, atol=1e-12)
+    finally:
+        language.LONG = before
+    before, language.BLOCK = language.BLOCK, 50
+    try:
+        np.testing.assert_allclose(whole, language.word_scores(p, words, chance), rtol=1e-12)
+        np.testing.assert_allclose(counts, language.expected_counts(p, words, np.array([0, 1, 2, 0, 1, 2]), np.arange(1.0, 7.0), chance), rtol=1e-9, atol=1e-15)
+    finally:
+        language.BLOCK = before
+
+
+def test_long_runs_are_learned_and_predicted(spark):
+    """Runs of 1 to 10,000 letters of Han, Ethiopic and Thai, learned from and predicted, spoil no score."""
+    path = language.pieces_path()
+    rows = [(i, "the quick brown fox jumps over the lazy dog " * 3, "en", "a", 1, "", "") for i in range(30)]
+    rows += [(100 + i, "le renard brun saute par dessus le chien paresseux " * 3, "fr", "a", 1, "", "") for i in range(30)]
+    n = 200
+    for letters, lang in (("漢字仮名交文章", "en"), ("ሀለሐመሠረሰ", "fr"), ("ภาษาไทย", "en")):
+        for size in (1, 60, 96, 97, 10_000):
+            rows.append((n, (letters * size)[:size] + " the lazy dog", lang, "a", 1, "", ""))
+            n += 1
+    docs = frame(spark, rows)
+    model = language.learn(docs, path)
+    assert np.isfinite(model.chance).all() and model.chance.min() >= 0
+    got = {r.doc_id: r for r in language.identify(docs, model, path).collect()}
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "fr") for r in got.values())
+    assert all(got[r[0]].lang_pred == r[2] for r in rows if r[0] < 200)
+    assert language.keep_identified(docs, model, path).count() == len(rows)
