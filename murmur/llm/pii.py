@@ -8,10 +8,12 @@ expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import Scratch, id_text, written
 
 #: The kinds in their order, with patterns for Java. They match what the plain patterns of the contract match; the
 #: look-behinds and possessive repeats only keep the search linear. A card's pattern takes the maximal runs of digits
@@ -26,45 +28,98 @@ KINDS = [*PATTERNS, "term"]
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}[\p{L}\p{N}]*+"
 
-#: Lengths of the parts in which running sums are built.
-PART = 256
-#: Code points beside an entity in which the SQL looks at terms; the operator looks at the whole document.
-CONTEXT = 80
-#: Different texts in which an entity, and a term with it, must occur for the estimate to count.
-SUPPORT = 3
+#: Lengths of the parts in which running values are built, and of those in which a long text is cut (code points).
+PART, PIECE = 256, 4096
+#: Different texts in which an entity, and a term with it, must occur for the estimate to count: the text that is judged
+#: and another. Of an entity in a single text nothing else in the corpus says what its terms disclose.
+SUPPORT = 2
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Distinct terms up to which they are broadcast (some 30 bytes each); beyond, terms are counted before the join.
 BROADCAST_TERMS = 200_000
 
 
-def running_sum(values: Column) -> Column:
-    """The inclusive running sums of an array of longs, in parts, so that long arrays don't cost their square."""
-    none = F.array().cast("array<bigint>")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, however often body has it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """step's inclusive running results over an array of longs, from 0 on, in parts, so that long arrays don't cost their square."""
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
 
     def plain(xs: Column, begin: Column) -> Column:
-        start = F.struct(begin.alias("sum"), none.alias("out"))
-        return F.aggregate(xs, start, lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["out"], F.array(a["sum"] + v)).alias("out")), lambda a: a["out"])
+        start = F.struct(begin.alias("at"), none.alias("out"))
+        one = lambda a, v: bound(step(a["at"], v), lambda x: F.struct(x.alias("at"), F.concat(a["out"], F.array(x)).alias("out")))
+        return F.aggregate(xs, start, one, lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda b: F.slice(v, b * PART + 1, F.lit(PART)))
+        begins = lambda xs: F.concat(F.array(zero), plain(F.transform(xs, lambda x: F.aggregate(x, zero, step)), zero))
+        return bound(parts, lambda xs: bound(begins(xs), lambda at: F.flatten(F.transform(xs, lambda x, i: plain(x, F.get(at, i))))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
+def running_sum(values: Column) -> Column:
+    """The inclusive running sums of an array of longs."""
+    return _running(values, lambda a, v: a + v)
 
-    zero = F.lit(0).cast("bigint")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PART).cast("int")), lambda b: F.slice(values, b * PART + 1, F.lit(PART)))
-    sums = F.transform(parts, lambda x: F.aggregate(x, zero, lambda a, v: a + v))
-    begins = F.concat(F.array(zero), plain(sums, zero))
-    return F.when(F.size(values) > 0, F.flatten(F.transform(parts, lambda x, i: plain(x, F.element_at(begins, i + 1))))).otherwise(none)
 
+def running_max(values: Column) -> Column:
+    """The inclusive running maxima, 0 at least, of an array of longs."""
+    return _running(values, lambda a, v: F.greatest(a, v))
 
-def occurrences(df: DataFrame, text: str, pattern: str, out: str, gate: Column) -> DataFrame:
-    """df with `out`: the matches of pattern in the text column as array<struct<start, end, value>>, positions in code
-    points. Rows that fail the gate have none and are not searched."""
-    found, gaps, ends = f"__{out}_found", f"__{out}_gaps", f"__{out}_ends"
+
+def occurrences(text: Column, pattern: str, gate: Column) -> Column:
+    """The matches of pattern in a text as array<struct<start, end, value>>, positions in code points. Rows that fail
+    the gate have none and are not searched."""
     long = lambda c: F.length(c).cast("bigint")
-    df = df.withColumn(found, F.when(gate, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    some = F.size(found) > 0
-    df = df.withColumn(gaps, F.when(some, F.transform(F.split(F.col(text), pattern, -1), long)))
-    steps = F.transform(F.col(found), lambda v, i: long(v) + F.element_at(F.col(gaps), i + 1))
-    df = df.withColumn(ends, F.when(some, running_sum(steps)))
-    each = F.zip_with(found, F.coalesce(F.col(ends), F.array().cast("array<bigint>")), lambda v, e: F.struct((e - long(v)).alias("start"), e.alias("end"), v.alias("value")))
-    return df.withColumn(out, each).drop(found, gaps, ends)
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), long)
+        ends = bound(gaps, lambda g: running_sum(F.transform(found, lambda v, i: long(v) + F.get(g, i))))
+        return F.zip_with(found, ends, lambda v, e: F.struct((e - long(v)).alias("start"), e.alias("end"), v.alias("value")))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return bound(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none))
+
+
+def _covers(spans: Column) -> Column:
+    """Sorted spans as disjoint ones: of spans that overlap the first stands for all, and ends where the last one does."""
+
+    def disjoint(s: Column, reach: Column) -> Column:
+        each = F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), F.coalesce(F.get(reach, i - 1), F.lit(0).cast("bigint")).alias("before")))
+        heads = F.filter(each, lambda x: x["start"] >= x["before"])
+        end = lambda hs, i: F.coalesce(F.get(hs, i + 1)["before"], F.get(reach, F.size(reach) - 1))
+        return bound(heads, lambda hs: F.transform(hs, lambda h, i: F.struct(h["start"].alias("start"), end(hs, i).alias("end"), h["kind"].alias("kind"), h["value"].alias("value"))))
+
+    return bound(spans, lambda s: bound(running_max(F.transform(s, lambda x: x["end"])), lambda reach: disjoint(s, reach)))
+
+
+def _rewritten(text: Column, covers: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with mark(span) in place of each of the disjoint spans. The text is cut into pieces once, so that a
+    span costs a piece and not the text before it."""
+    number = lambda c: F.floor(c / PIECE).cast("int")
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = number(a), number(b - 1)
+        begin = F.substring(F.get(pieces, i), (a % PIECE + 1).cast("int"), F.least(b - a, F.lit(PIECE)).cast("int"))
+        between = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(b <= a, "").when(i == j, begin).otherwise(F.concat(begin, between, F.substring(F.get(pieces, j), F.lit(1), (b - j.cast("bigint") * PIECE).cast("int"))))
+
+    def whole(pieces: Column, c: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(c, i)["end"], F.lit(0).cast("bigint"))
+        each = F.transform(c, lambda s, i: F.concat(part(pieces, after(i - 1), s["start"]), mark(s)))
+        return F.concat(F.array_join(each, ""), part(pieces, after(F.size(c) - 1), F.length(text).cast("bigint")))
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: bound(covers, lambda c: whole(pieces, c)))
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its entities."""
+    return F.when(F.size(base) == 0, text).otherwise(_rewritten(text, _covers(base), lambda s: F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int"))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -91,63 +146,52 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with `out`: the entities that the patterns find, as array<struct<start, rank, end, kind, value>> in order;
-    a match that fails its kind's test is dropped, and nothing inside it is looked for."""
-    digit = F.col(text).rlike("[0-9]")
-    gates = {"email": F.contains(F.col(text), F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(F.col(text), F.lit("+"))}
-    for kind, pattern in PATTERNS.items():
-        docs = occurrences(docs, text, pattern, f"__{kind}", gates[kind])
+def base_spans(text: Column) -> Column:
+    """The entities that the patterns find, as array<struct<start, rank, end, kind, value>> in order; a match that
+    fails its kind's test is dropped, and nothing inside it is looked for."""
+    digit = text.rlike("[0-9]")
+    gates = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
 
     def valid(rank: int, kind: str) -> Column:
-        held = F.filter(F.col(f"__{kind}"), lambda m: _valid(kind, m["value"]))
+        held = F.filter(occurrences(text, PATTERNS[kind], gates[kind]), lambda m: _valid(kind, m["value"]))
         return F.transform(held, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
 
-    each = [valid(i, k) for i, k in enumerate(PATTERNS)]
-    return docs.withColumn(out, F.array_sort(F.concat(*each))).drop(*[f"__{k}" for k in PATTERNS])
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __id, __text and __hash; the id and the text's hash together tell rows apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__id": id_text(F.col(id_col)), "__text": text, "__hash": F.xxhash64(text)})
+    return F.array_sort(F.concat(*[valid(i, k) for i, k in enumerate(PATTERNS)]))
 
 
-def _holders(held: DataFrame) -> DataFrame:
-    """__id, __hash, kind, entity, n_e for each entity that occurs in SUPPORT different texts, and each row that holds
-    it; n_e: the rows that do. held: the rows with entities."""
-    span = F.col("span")
-    entity = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
-    one = held.select("__id", "__hash", F.explode("__base").alias("span")).select("__id", "__hash", span["kind"].alias("kind"), entity.alias("entity")).distinct()
-    one = written(one, "pii-entities")
-    strong = one.groupBy("kind", "entity").agg(F.countDistinct("__hash").alias("texts"), F.count(F.lit(1)).alias("n_e")).where(F.col("texts") >= SUPPORT)
-    return one.join(strong.drop("texts"), ["kind", "entity"]).select("__id", "__hash", "kind", "entity", "n_e")
+def _holders(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """__id, __hash, kind, entity, w, n_e for each entity that occurs in SUPPORT different texts, and each id and text
+    that holds it; w: the rows of this id and text, n_e: all rows that hold the entity. held: the rows with entities."""
+    entity = lambda s: F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
+    each = F.array_distinct(F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), entity(s).alias("entity"))))
+    one = held.select("__id", "__hash", F.inline(each)).groupBy("__id", "__hash", "kind", "entity").agg(F.count(F.lit(1)).alias("w"))
+    one = scratch.written(one, "entities")
+    strong = one.groupBy("kind", "entity").agg(F.countDistinct("__hash").alias("texts"), F.sum("w").alias("n_e")).where(F.col("texts") >= SUPPORT)
+    return scratch.written(one.join(strong.drop("texts"), ["kind", "entity"]).select("__id", "__hash", "kind", "entity", "w", "n_e"), "holders")
 
 
-def _words(held: DataFrame) -> DataFrame:
-    """__id, __hash and __words: the terms anywhere in the text as array<struct<start, end, value>>, lower case, none
-    inside an entity."""
-    found = occurrences(held, "__text", TERM, "words", F.lit(True))
-    free = F.filter("words", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    return found.select("__id", "__hash", F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"))).alias("__words"))
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosures(docs: DataFrame, holders: DataFrame, words: DataFrame) -> DataFrame:
-    """kind, entity, term, share, action for every term that discloses an entity, from all of docs (keyed).
+def disclosures(rows: DataFrame, holders: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """kind, entity, term, share, action for every term that discloses an entity; rows: all documents, with __text and
+    __base.
 
     share is the mutual information of term and entity over the entity's information, log2 of inverse frequencies of
-    documents. Entities and pairs in fewer than SUPPORT different texts give no estimate. Frequencies of terms are
-    counted over every document, and so is how often they occur with the entity.
+    documents. All of them (n documents, n_e with the entity, n_t with the term outside entities, n_te with both) are
+    counted over all documents, whole. Entities and pairs in fewer than SUPPORT different texts give no estimate.
     """
-    n = docs.count()
-    terms = words.select("__id", "__hash", F.explode(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("term"))
+    n = rows.count()
+    terms = words.select("__id", "__hash", F.explode(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("term")).distinct()
     pairs = terms.join(holders, ["__id", "__hash"])
-    pairs = pairs.groupBy("kind", "entity", "n_e", "term", "__hash").agg(F.countDistinct("__id").alias("rows")).groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_te"))
-    pairs = written(pairs.where(F.col("texts") >= SUPPORT).drop("texts"), "pii-pairs")
-    wanted = written(pairs.select("term").distinct(), "pii-terms")
+    pairs = pairs.groupBy("kind", "entity", "n_e", "term", "__hash").agg(F.sum("w").alias("w")).groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("w").alias("n_te"))
+    pairs = scratch.written(pairs.where(F.col("texts") >= SUPPORT).drop("texts"), "pairs")
+    wanted = scratch.written(pairs.select("term").distinct(), "terms")
     few = wanted.count()
     if few:
-        every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
+        every = rows.select(F.explode(_terms(_blanked(F.col("__text"), F.col("__base")))).alias("term"))
         count = lambda w: w.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
         seen = count(every.join(F.broadcast(wanted), "term", "left_semi")) if few <= BROADCAST_TERMS else count(every).join(wanted, "term", "left_semi")
         pairs = pairs.join(seen, "term")
@@ -164,22 +208,31 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with __text (the text, null as empty), __base and __terms, both array<struct<start, rank, end, kind,
     value>>: the entities, and the terms that disclose them; a term's value is the action.
 
+    The texts are searched once; rows and entities are kept as a table in the shared folder. Terms are those of the
+    text with its entities blanked out; where one discloses an entity of the document, it is marked wherever it stands.
     Rows are told apart by id and text; rows that repeat both get the same spans. A null id is an id of its own. An
     empty table gives no rows.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    spanned = base_spans(keyed, "__text", "__base")
-    held = written(spanned.where(F.size("__base") > 0).select("__id", "__hash", "__text", "__base"), "pii-held")
-    holders = written(_holders(held), "pii-holders")
-    words = written(_words(held.join(holders.select("__id", "__hash").distinct(), ["__id", "__hash"], "left_semi")), "pii-words")
-    found = written(disclosures(keyed, holders, words), "pii-disclosures")
-    # a term that discloses several of a document's entities takes the stronger action
-    told = holders.join(found, ["kind", "entity"]).groupBy("__id", "__hash", "term").agg(F.max("action").alias("value"))
-    told = words.select("__id", "__hash", F.explode("__words").alias("t")).distinct().withColumn("term", F.col("t.value")).join(told, ["__id", "__hash", "term"])
-    span = F.struct(F.col("t.start").alias("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("t.end").alias("end"), F.lit("term").alias("kind"), F.col("value"))
-    extra = written(told.select("__id", "__hash", span.alias("span")).groupBy("__id", "__hash").agg(F.array_sort(F.collect_list("span")).alias("__terms")), "pii-spans")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__id": id_text(F.col(id_col)), "__hash": F.xxhash64(text), "__base": base_spans(text)})
+    rows = written(keyed, "pii-rows").withColumn("__text", text)
+    held = rows.where(F.size("__base") > 0)
+    with Scratch(docs.sparkSession, "pii") as scratch:
+        holders = _holders(held.select("__id", "__hash", "__base"), scratch)
+        some = held.select("__id", "__hash", "__text", "__base").join(holders.select("__id", "__hash").distinct(), ["__id", "__hash"], "left_semi")
+        place = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"))
+        words = F.transform(occurrences(_blanked(F.col("__text"), F.col("__base")), TERM, F.lit(True)), place)
+        words = scratch.written(some.select("__id", "__hash", words.alias("__words")), "words")
+        found = scratch.written(disclosures(rows, holders, words, scratch), "disclosures")
+        # a term that discloses several of a document's entities takes the stronger action
+        told = holders.join(found, ["kind", "entity"]).groupBy("__id", "__hash", "term").agg(F.max("action").alias("value"))
+        told = words.select("__id", "__hash", F.explode("__words").alias("t")).distinct().withColumn("term", F.col("t.value")).join(told, ["__id", "__hash", "term"])
+        span = F.struct(F.col("t.start").alias("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("t.end").alias("end"), F.lit("term").alias("kind"), F.col("value"))
+        extra = written(told.select("__id", "__hash", span.alias("span")).groupBy("__id", "__hash").agg(F.array_sort(F.collect_list("span")).alias("__terms")), "pii-spans")
     none = F.array().cast(extra.schema["__terms"].dataType)
-    return spanned.join(extra, ["__id", "__hash"], "left").withColumn("__terms", F.coalesce("__terms", none)).drop("__id", "__hash")
+    marked = held.join(extra, ["__id", "__hash"], "left").withColumn("__terms", F.coalesce("__terms", none))
+    plain = rows.where(F.size("__base") == 0).withColumn("__terms", none)
+    return marked.select(*plain.columns).union(plain).drop("__id", "__hash")
 
 
 def _joined(spans: Column) -> Column:
@@ -192,13 +245,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found = find(docs, id_col=id_col, text_col=text_col)
     spans = F.array_sort(F.concat("__base", "__terms"))
     mark = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "generalise", "[TERM]").otherwise("")
-    text = lambda a, b: F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int"))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], text(a["at"], s["start"]), mark(s)).alias("out"))
-    ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    whole = F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], text(a["at"], F.length("__text").cast("bigint"))))
-    clean = F.when(F.size(spans) == 0, F.col(text_col)).otherwise(whole)
+    clean = F.when(F.size("__base") == 0, F.col(text_col)).otherwise(_rewritten(F.col("__text"), _covers(spans), mark))
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
@@ -207,7 +254,7 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     number = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *[number(k) for k in PATTERNS], F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("__base", "__terms"))).alias("spans"),
+        _joined(F.array_sort(F.concat("__base", "__terms"))).alias("spans"), F.size("__base").cast("long").alias("n_personal"),
     )
 
 
@@ -221,7 +268,7 @@ PLAIN = {
 
 
 def _sql() -> str:
-    """The same in SQL, but for terms that stand more than CONTEXT code points from the entity, which it leaves out."""
+    """The same in SQL."""
 
     def places(source: str, text: str, pattern: str) -> str:
         """source's columns with s, e, v of each match."""
@@ -245,32 +292,34 @@ def _sql() -> str:
     spelt = "string_agg(kind || ':' || s || ':' || e, ',' order by s, rank, e)"
     return f"""
 with docs as (select doc_id, coalesce(doc_id::varchar, 'null') as id, coalesce(text, '') as t from documents),
-keyed as (select distinct id, t from docs), base as ({base}),
-sides as (
-  select id, t, kind, case when kind in ('card', 'phone') then {digits} else lower(v) end as entity, greatest(s - {CONTEXT}, 0) as first, e as last,
-         substr(t, greatest(s - {CONTEXT}, 0) + 1, s - greatest(s - {CONTEXT}, 0)) as l, substr(t, e + 1, {CONTEXT}) as r
-  from base
-), near as (
-  select id, t, kind, entity, s + first as s, e + first as e, lower(v) as term from {places('sides', 'l', term)} where s > 0 or first = 0
-  union all select id, t, kind, entity, s + last as s, e + last as e, lower(v) as term from {places('sides', 'r', term)} where e < {CONTEXT}
-), beside as (select * from near where not exists (select 1 from base b where b.id = near.id and b.t = near.t and b.s < near.e and b.e > near.s)),
-strong as (
-  select kind, entity, count(distinct (id, t)) as n_e from (select id, t, kind, entity from sides) group by all having count(distinct t) >= {SUPPORT}
+keyed as (select id, t, count(*) as w from docs group by all), base as ({base}),
+blanked as (
+  select id, t, keyed.w, l is not null as held, case when l is null then t else array_to_string(list_transform(regexp_extract_all(t, '(?s).'),
+         lambda c, i: case when len(list_filter(l, lambda x: x.s < i and i <= x.e)) > 0 then ' ' else c end), '') end as u
+  from keyed left join (select id, t, list({{'s': s, 'e': e}}) as l from base group by all) using (id, t)
+), entities as (
+  select distinct id, t, w, kind, case when kind in ('card', 'phone') then {digits} else lower(v) end as entity from base join keyed using (id, t)
+), strong as (
+  select kind, entity, sum(w)::double as n_e from entities group by all having count(distinct t) >= {SUPPORT}
+), words as (
+  select id, t, w, s, e, lower(v) as term from {places("(select * from blanked where held)", "u", term)}
 ), pairs as (
-  select kind, entity, n_e, term, count(distinct (id, t)) as n_te from beside join strong using (kind, entity) group by all having count(distinct t) >= {SUPPORT}
+  select kind, entity, n_e, term, sum(w)::double as n_te from (select distinct id, t, term from words) join entities using (id, t) join strong using (kind, entity)
+  group by all having count(distinct t) >= {SUPPORT}
 ), seen as (
-  select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '{term}'))) as term from docs) where term in (select term from pairs) group by term
+  select term, sum(w)::double as n_t from (select w, unnest(list_distinct(list_transform(regexp_extract_all(u, '{term}'), lambda x: lower(x)))) as term from blanked)
+  where term in (select term from pairs) group by term
 ), shares as (
   select *, log2((select count(*) from docs) * n_te / (n_t * n_e)) / nullif(log2((select count(*) from docs) / n_e), 0) as share from pairs join seen using (term)
 ), told as (
-  select id, t, s, e, max(case when share >= {REMOVE} then 'remove' else 'generalise' end) as action from beside join shares using (kind, entity, term)
+  select id, t, s, e from (select distinct id, t, s, e, term from words) join entities using (id, t) join shares using (kind, entity, term)
   where share >= {GENERALISE} and n_e < (select count(*) from docs) group by all
 ), base_text as (
-  select id, t, {spelt} as spelt, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in PLAIN)} from base group by all
+  select id, t, {spelt} as spelt, count(*) as n_personal, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in PLAIN)} from base group by all
 ), all_text as (
   select id, t, {spelt} as spelt from (select id, t, kind, rank, s, e from base union all select id, t, 'term', {len(PLAIN)}, s, e from told) group by all
 )
-select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PLAIN)}, sha256(coalesce(b.spelt, '')) as base_sha256, coalesce(a.spelt, '') as spans
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in PLAIN)}, sha256(coalesce(b.spelt, '')) as base_sha256, coalesce(a.spelt, '') as spans, coalesce(n_personal, 0) as n_personal
 from docs left join base_text b using (id, t) left join all_text a using (id, t)
 """
 
