@@ -13,6 +13,8 @@ import textwrap
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Steps of the canonical form, in order: pattern and replacement ($n: a group), valid for Java and RE2 alike; lines are
 #: in lower case. Fixed values; the spellings follow the equivalences that licence matching guidelines publish.
 LINES = (
@@ -245,24 +247,24 @@ def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_c
     """doc_id, canonical_sha256, license (of the entire text, or null), notices (licences of its lines, sorted, comma-
     joined, each once) and n_notices (lines that are one).
 
-    licences: digest, license; known() bounds them to a few hundred rows, so they are broadcast. The lines that match
-    are counted back by id and digest: rows that repeat an id and a canonical text come out as one row. A null text is
-    empty, its digest that of the empty form, which is no licence. An empty table gives no rows.
+    licences: digest, license, each digest once; Spark broadcasts them if they are small, as known() is. Every row gives
+    a row, whatever it repeats: the lines that match are counted back by a number that each row gets while it is read.
+    A null text is empty, its digest that of the empty form, which is no licence. An empty table gives no rows.
     """
-    forms = with_forms(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text"))
-    rows = forms.select("doc_id", F.sha2("__whole", 256).alias("canonical_sha256"), F.transform("__lines", lambda x: F.sha2(x, 256)).alias("lines"))
-    units = rows.select("doc_id", "canonical_sha256", F.posexplode(F.concat(F.array("canonical_sha256"), "lines")).alias("place", "digest"))
-    found = units.join(F.broadcast(licences), "digest", "left").where((F.col("place") == 0) | F.col("license").isNotNull())
+    forms = with_forms(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text"))
+    rows = forms.select("__row", "doc_id", F.sha2("__whole", 256).alias("canonical_sha256"), F.transform("__lines", lambda x: F.sha2(x, 256)).alias("lines"))
+    units = rows.select("__row", "doc_id", "canonical_sha256", F.posexplode(F.concat(F.array("canonical_sha256"), "lines")).alias("place", "digest"))
+    found = units.join(licences, "digest", "left").where((F.col("place") == 0) | F.col("license").isNotNull())
     line = F.col("place") > 0
-    return found.groupBy("doc_id", "canonical_sha256").agg(
+    return found.groupBy("__row", "doc_id", "canonical_sha256").agg(
         F.max(F.when(~line, F.col("license"))).alias("license"),
         F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("notices"),
         F.count(F.when(line, F.lit(1))).alias("n_notices"),
-    )
+    ).drop("__row")
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known(spark))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), written(known(spark), "licences"))
 
 
 def _sql() -> str:
@@ -282,14 +284,14 @@ def _sql() -> str:
     return f"""
 with listed(license, text) as (values {values}),
 known as (select sha256({form('text')}) as digest, min(license) as license from listed group by 1),
-docs as (select doc_id, coalesce(text, '') as text, sha256({form("coalesce(text, '')")}) as canonical_sha256 from documents),
-lines as (select doc_id, canonical_sha256, unnest(string_split(text, chr(10))) as line from docs),
+docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text, sha256({form("coalesce(text, '')")}) as canonical_sha256 from documents),
+lines as (select r, unnest(string_split(text, chr(10))) as line from docs),
 hits as (
-  select doc_id, canonical_sha256, string_agg(distinct license, ',' order by license) as notices, count(*) as n_notices
-  from (select *, sha256({form('line')}) as digest from lines where line <> '') join known using (digest) group by 1, 2
+  select r, string_agg(distinct license, ',' order by license) as notices, count(*) as n_notices
+  from (select *, sha256({form('line')}) as digest from lines where line <> '') join known using (digest) group by 1
 )
-select distinct docs.doc_id, docs.canonical_sha256, license, coalesce(notices, '') as notices, coalesce(n_notices, 0) as n_notices
-from docs left join known on canonical_sha256 = digest left join hits using (doc_id, canonical_sha256)
+select docs.doc_id, docs.canonical_sha256, license, coalesce(notices, '') as notices, coalesce(n_notices, 0) as n_notices
+from docs left join known on canonical_sha256 = digest left join hits using (r)
 """
 
 
