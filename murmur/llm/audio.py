@@ -179,9 +179,9 @@ def _features(s: Settings) -> Features:
 
 
 def features(media: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", media_col: str = "media", carry: list[str] | None = None) -> DataFrame:
-    """For each row: doc_id, the carried columns, payload (the stored samples as read back), n_frames, tensors (binary: int16 values of
-    tensor, frame, band in that order, of shape (n, frames, bands); hundredths of a decibel), tensor_spans and
-    segments (array<struct<begin, end>> in seconds).
+    """For each row: doc_id, the carried columns, payload (the stored samples as read back), n_frames, tensors (an
+    Arrow stream of fixed-shape tensors, each with its time span; see tensor_table()) and segments
+    (array<struct<begin, end>> in seconds).
 
     A null recording gives a row of nulls; an empty one has a frame of silence and no segments. Rows are independent:
     repeated rows give equal rows, other columns are ignored, an empty table gives none. A long recording is worked on
@@ -201,11 +201,11 @@ def features(media: DataFrame, settings: Settings = Settings(), *, id_col: str =
         for batch in batches:
             sizes = [x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist()]
             for part in sections(sizes, 4_000_000):
-                payload, count, tensor, where, cut = [], [], [], [], []
+                payload, count, tensor, cut = [], [], [], []
                 for stored in batch.column(1)[part.start : part.stop]:
                     raw = stored.as_py()
                     if raw is None:
-                        for x in (payload, count, tensor, where, cut):
+                        for x in (payload, count, tensor, cut):
                             x.append(None)
                         continue
                     rate, samples = read_wav(raw)
@@ -216,25 +216,39 @@ def features(media: DataFrame, settings: Settings = Settings(), *, id_col: str =
                     begin = np.arange(0, n, settings.frames)
                     payload.append(samples.tobytes())
                     count.append(n)
-                    tensor.append(f.tensors(mel).tobytes())
-                    where.append(np.stack([begin, np.minimum(begin + settings.frames, n)], 1) * step)
+                    tensor.append(tensor_stream(f.tensors(mel), np.stack([begin, np.minimum(begin + settings.frames, n)], 1) * step, settings))
                     cut.append(f.segments(mel) * step)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], *[c[part.start : part.stop] for c in batch.columns[2:]], pa.array(payload, pa.binary()), pa.array(count, pa.int64()), pa.array(tensor, pa.binary()), spans(where), spans(cut)],
-                    ["doc_id", *carry, "payload", "n_frames", "tensors", "tensor_spans", "segments"],
+                    [batch.column(0)[part.start : part.stop], *[c[part.start : part.stop] for c in batch.columns[2:]], pa.array(payload, pa.binary()), pa.array(count, pa.int64()), pa.array(tensor, pa.binary()), spans(cut)],
+                    ["doc_id", *carry, "payload", "n_frames", "tensors", "segments"],
                 )
 
     small_batches(media.sparkSession)
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("__media"), *[F.col(c) for c in carry])
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, f"doc_id long{kept}, payload binary, n_frames long, tensors binary, tensor_spans {span}, segments {span}")
+    return rows.mapInArrow(run, f"doc_id long{kept}, payload binary, n_frames long, tensors binary, segments {span}")
 
 
-def tensor_array(values: bytes, settings: Settings = Settings()) -> pa.Array:
-    """One row's tensors as an Arrow array of the fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.int16(), (settings.frames, settings.bands), dim_names=("frame", "band"))
-    flat = pa.array(np.frombuffer(values, np.int16))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, settings.frames * settings.bands))
+def tensor_schema(s: Settings) -> pa.Schema:
+    """tensor: int16 of shape (frames, bands), hundredths of a decibel; begin, end: its span in seconds."""
+    kind = pa.fixed_shape_tensor(pa.int16(), (s.frames, s.bands), dim_names=("frame", "band"))
+    return pa.schema([("tensor", kind), ("begin", pa.float64()), ("end", pa.float64())])
+
+
+def tensor_stream(tensors: np.ndarray, spans: np.ndarray, s: Settings) -> bytes:
+    """A recording's tensors and their spans as an Arrow stream."""
+    schema = held(("tensors", s), lambda: tensor_schema(s), beside=True)
+    cells = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), s.frames * s.bands)
+    columns = [pa.ExtensionArray.from_storage(schema.field(0).type, cells), pa.array(np.ascontiguousarray(spans[:, 0])), pa.array(np.ascontiguousarray(spans[:, 1]))]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def tensor_table(stream: bytes) -> pa.Table:
+    """The stored tensors and spans of a recording."""
+    return pa.ipc.open_stream(stream).read_all()
 
 
 def op2_audio(spark, sf_dir: str) -> DataFrame:

@@ -74,15 +74,21 @@ def small_batches(spark: SparkSession) -> None:
 _held: dict[Hashable, Any] = {}
 
 
-def held(key: Hashable, make: Callable[[], Any]) -> Any:
+def held(key: Hashable, make: Callable[[], Any], *, beside: bool = False) -> Any:
     """What a worker keeps between tasks: one thing, such as the last vocabulary, so that a reused worker does not
-    gather all that it ever needed."""
+    gather all that it ever needed; and the small ones that are to stand beside it."""
     if key not in _held:
-        _held.clear()
+        if not beside:
+            _held.clear()
         _held[key] = make()
     return _held[key]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that the operators have left in the shared folder: for callers who have their results."""
+    delete_path(spark, f"{shared_dir(spark)}/murmur")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

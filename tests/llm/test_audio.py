@@ -73,9 +73,14 @@ def test_tensors_and_spans(spark):
     s = audio.Settings()
     media = frame(spark).where("doc_id = 10").select("doc_id", audio.wav(audio.padded(F.col("text")), s.rate).alias("media"))
     row = audio.features(media).first()
-    t = audio.tensor_array(row.tensors)
-    assert isinstance(t.type, pa.FixedShapeTensorType) and t.type.shape == [s.frames, s.bands]
-    assert len(t) == len(row.tensor_spans) == -(-row.n_frames // s.frames)
+    t = audio.tensor_table(row.tensors)
+    kind = t.schema.field("tensor").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [s.frames, s.bands]
+    f = audio.Features(s)
+    mel = f.log_mel(f.resample(audio.read_wav(media.first().media)[1]))
+    assert np.array_equal(t["tensor"].combine_chunks().to_numpy_ndarray(), f.tensors(mel))
+    assert len(t) == -(-row.n_frames // s.frames) and len(mel) == row.n_frames
+    assert t["begin"].to_pylist()[0] == 0 and np.allclose(t["begin"].to_pylist()[1:], t["end"].to_pylist()[:-1]) and np.isclose(t["end"].to_pylist()[-1], row.n_frames * s.hop / s.out_rate)
     assert all(a.begin < a.end for a in row.segments)
     none = spark.createDataFrame([(1, None)], "doc_id long, media binary")
     assert audio.features(none).first().payload is None
