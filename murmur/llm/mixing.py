@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import WORD, id_text, uniform, written
 
@@ -28,12 +29,14 @@ TOPICS = (
 @dataclass(frozen=True)
 class Settings:
     """Targets by dimension: an exponent, to which the present shares are raised (1: as they are, 0: all equal), or
-    shares by name; names that are not given share what is left as they do now. rounds: of raking; keep: share of all
-    tokens that the sample should have; seed: of the draws; max_cells: up to which the cells are raked on the driver,
-    some 100 bytes each, and broadcast; beyond, the same is done by DataFrames."""
+    shares by name; names that are not given share what is left as they do now. Raking ends when no marginal is off by
+    more than the tolerance, or after so many rounds if the targets contradict each other; keep: share of all tokens
+    that the sample should have; seed: of the draws; max_cells: up to which the cells are raked on the driver, some 100
+    bytes each; beyond, the same steps are done by DataFrames."""
 
     targets: dict[str, float | dict[str, float]] = field(default_factory=lambda: {"source": 0.7, "lang": 0.6, "topic": 0.8})
-    rounds: int = 30
+    tolerance: float = 1e-10
+    rounds: int = 200
     keep: float = 0.5
     seed: str = "mix"
     max_cells: int = 100_000
@@ -69,13 +72,18 @@ def target_shares(names: list[str], tokens: np.ndarray, target: float | dict[str
     return share / share.sum()
 
 
-def rake(index: list[np.ndarray], tokens: np.ndarray, shares: list[np.ndarray], rounds: int) -> np.ndarray:
-    """Weights of the cells, summing to 1: index gives each cell's name by dimension, shares the wanted marginals."""
+def rake(index: list[np.ndarray], tokens: np.ndarray, shares: list[np.ndarray], rounds: int, tolerance: float = 0.0) -> np.ndarray:
+    """Weights of the cells, summing to 1: index gives each cell's name by dimension, shares the wanted marginals. It
+    ends when all marginals hold within the tolerance, or after so many rounds."""
     weight = tokens / tokens.sum()
     for _ in range(rounds):
+        off = 0.0
         for names, share in zip(index, shares, strict=True):
             now = np.bincount(names, weight, len(share))
+            off = max(off, float(np.abs(now - share).max()))
             weight = weight * (share / np.where(now > 0, now, 1))[names]
+        if off <= tolerance:
+            break
     return weight
 
 
@@ -108,14 +116,14 @@ def _on_driver(counts: DataFrame, s: Settings) -> DataFrame:
         names, at = np.unique(np.array([c[i] for c, _ in rows], dtype=object).astype(str), return_inverse=True)
         index.append(at)
         shares.append(target_shares(names.tolist(), np.bincount(at, tokens), s.targets[d]))
-    p = np.round(probabilities(rake(index, tokens, shares, s.rounds), tokens, s.keep), 6)
+    p = np.round(probabilities(rake(index, tokens, shares, s.rounds, s.tolerance), tokens, s.keep), 6)
     schema = ", ".join([*(f"__{d} string" for d in DIMENSIONS), "p double"])
     return counts.sparkSession.createDataFrame([(*c, float(x)) for (c, _), x in zip(rows, p, strict=True)], schema)
 
 
 def _on_executors(counts: DataFrame, s: Settings) -> DataFrame:
-    """As _on_driver(), for any number of cells: marginals are pre-aggregated and joined back. The shared scale is
-    found by bisection on the expected tokens, so p agrees to some 1e-6."""
+    """As _on_driver(), for any number of cells: marginals are pre-aggregated and joined back. The shared scale rises
+    until it takes no more cells to a probability of 1, which ends in the same scale."""
     cells = written(counts, "mix-cells")
     total = float(cells.agg(F.sum("tokens")).first()[0])
     for d in DIMENSIONS:
@@ -133,18 +141,20 @@ def _on_executors(counts: DataFrame, s: Settings) -> DataFrame:
         cells = cells.join(marginal.select(f"__{d}", (F.col("share") / whole).alias(f"{d}_share")), f"__{d}")
     cells = written(cells.withColumn("weight", F.col("tokens") / total), "mix-cells")
     for _ in range(s.rounds):
+        off = []
         for d in DIMENSIONS:
-            sums = cells.groupBy(f"__{d}").agg(F.sum("weight").alias("sum"))
-            cells = cells.join(sums, f"__{d}").withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col(f"{d}_share") / F.col("sum")).otherwise(0.0)).drop("sum")
+            sums = written(cells.groupBy(f"__{d}").agg(F.sum("weight").alias("sum"), F.first(f"{d}_share").alias("share")), "mix-sums")
+            off.append(float(sums.agg(F.max(F.abs(F.col("sum") - F.col("share")))).first()[0]))
+            cells = cells.join(sums.drop("share"), f"__{d}").withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * (F.col(f"{d}_share") / F.col("sum"))).otherwise(0.0)).drop("sum")
         cells = written(cells, "mix-cells")
+        if max(off) <= s.tolerance:
+            break
     ratio = F.col("weight") * total / F.col("tokens")
-    wanted, low, high = s.keep * total, 0.0, 1.0
-    expected = lambda x: cells.agg(F.sum(F.least(ratio * x, F.lit(1.0)) * F.col("tokens"))).first()[0]
-    while expected(high) < wanted * (1 - 1e-12) and high < 1e18:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < wanted else (low, middle)
+    high, before = 0.0, -1.0
+    while high > before:  # each step solves the scale for the cells that were below 1 with the last one
+        full = ratio * high >= 1
+        sums = cells.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, ratio * F.col("tokens")))).first()
+        before, high = high, high if not sums[1] else max(high, (s.keep * total - (sums[0] or 0.0)) / sums[1])
     return written(cells.select(*[f"__{d}" for d in DIMENSIONS], F.round(F.least(ratio * high, F.lit(1.0)), 6).alias("p")), "mix-p")
 
 
@@ -163,7 +173,7 @@ def mix(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_
     if number == 0:
         p = counts.select(*names, F.lit(None).cast("double").alias("p"))
     elif number <= s.max_cells:
-        p = F.broadcast(_on_driver(counts, s))
+        p = _on_driver(counts, s)
     else:
         p = _on_executors(counts, s)
     drawn = uniform(F.concat(F.lit(f"{s.seed}|"), id_text(F.col(id_col))))
@@ -171,6 +181,29 @@ def mix(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_
     return joined.withColumn("__kept", drawn < F.col("__p"))
 
 
+def calibration(mixed: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """dimension, name, tokens, target, expected, drawn of a result of mix(): a name's wanted share of the tokens, that
+    which the probabilities give, and that of the documents drawn. Expected differs from the target where cells have
+    too few tokens: their probability is 1 at most."""
+    out, whole = None, W.partitionBy(F.lit(0))  # over tables of a row for each name
+    for d in DIMENSIONS:
+        target = settings.targets[d]
+        sums = mixed.where("__tokens > 0").groupBy(F.col(f"__{d}").alias("name")).agg(
+            F.sum("__tokens").alias("tokens"), F.sum(F.col("__tokens") * F.col("__p")).alias("e"), F.sum(F.when(F.col("__kept"), F.col("__tokens"))).alias("k"))
+        if isinstance(target, dict):
+            given = F.element_at(F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), F.col("name")) if target else F.lit(None).cast("double")
+            rest = F.when(given.isNull(), F.col("tokens"))
+            left = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(given).over(whole), F.lit(0.0)))
+            share = F.coalesce(given, left * rest / F.sum(rest).over(whole))
+        else:
+            share = F.pow(F.col("tokens").cast("double"), F.lit(float(target)))
+        sums = sums.withColumn("share", share)
+        part = lambda c: F.coalesce(F.col(c) / F.sum(c).over(whole), F.lit(0.0))
+        one = sums.select(F.lit(d).alias("dimension"), "name", "tokens", part("share").alias("target"), part("e").alias("expected"), part("k").alias("drawn"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return found.select(
@@ -179,12 +212,16 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rounds that the SQL has; by then the operator has ended on the test tables.
+ROUNDS = 30
+
+
 def _sql(s: Settings) -> str:
     """The same in SQL, its rounds written out."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     cases = "\n".join(f"    when {' or '.join(f'contains(t, {quote(m)})' for m in marks)} then '{name}'" for name, marks in TOPICS)
     steps, at = [], "base"
-    for r in range(s.rounds):
+    for r in range(ROUNDS):
         for d in DIMENSIONS:
             steps.append(f"r{r}_{d} as (select * replace (w * {d}_share / sum(w) over (partition by {d}) as w) from {at})")
             at = f"r{r}_{d}"

@@ -33,10 +33,10 @@ def test_expected_tokens(keep):
 def test_both_ways_agree(spark):
     docs = frame(spark)
     for targets in ({"source": 0.5, "lang": 0.3, "topic": 1.0}, {"source": {"a": 0.6, "b": 0.3}, "lang": {"en": 0.5, "xx": 0.2}, "topic": 0.0}):
-        got = [{(r.doc_id, r.text): r for r in mixing.mix(docs, mixing.Settings(targets=targets, max_cells=m)).collect()} for m in (1000, 0)]
+        got = [{(r.doc_id, r.text): r for r in mixing.mix(docs, mixing.Settings(targets=targets, max_cells=m, rounds=12)).collect()} for m in (1000, 0)]
         assert got[0].keys() == got[1].keys()
         for k, r in got[0].items():
-            assert abs(r["__p"] - got[1][k]["__p"]) < 3e-6
+            assert r["__p"] == got[1][k]["__p"] and r["__kept"] == got[1][k]["__kept"]
 
 
 def test_awkward_rows(spark, tmp_path):
@@ -58,3 +58,24 @@ def test_sampled_marginals(spark, sf):
     before = tokens / tokens.sum()
     assert (expected - target).abs().max() < (before - target).abs().max()
     assert abs((got.n_tokens * got.probability).sum() / got.n_tokens.sum() - s.keep) < 1e-4
+
+
+def test_raking_ends(spark):
+    """At the tolerance where the targets agree, after the last round where they can't all hold."""
+    at = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    tokens = np.array([5.0, 1.0, 2.0, 9.0])
+    w = mixing.rake(at, tokens, [np.array([0.5, 0.5]), np.array([0.2, 0.8])], 1000, 1e-12)
+    assert np.allclose(np.bincount(at[0], w), 0.5, atol=1e-12) and np.allclose(np.bincount(at[1], w), [0.2, 0.8], atol=1e-12)
+    diagonal = [np.array([0, 1]), np.array([0, 1])]  # the other two cells are empty
+    w = mixing.rake(diagonal, np.array([1.0, 1.0]), [np.array([0.5, 0.5]), np.array([0.2, 0.8])], 50, 1e-12)
+    assert np.allclose(w, [0.2, 0.8])
+
+
+def test_calibration(spark, sf):
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), mixing.Settings(keep=0.02))
+    rows = mixing.calibration(mixed, mixing.Settings(keep=0.02)).collect()
+    for d in mixing.DIMENSIONS:
+        mine = [r for r in rows if r.dimension == d]
+        assert all(np.isclose(sum(r[c] for r in mine), 1) for c in ("target", "expected", "drawn"))
+    full = mixed.where("__tokens > 0").selectExpr("max(__p)").first()[0]
+    assert full == 1 or max(abs(r.target - r.expected) for r in rows) < 1e-3
