@@ -214,33 +214,58 @@ def beside_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, text, bucket, ahead of every row, dealt by ranges of the id and sorted within a partition by bucket,
     ahead, doc_id (falling) and text, so that the row behind each with ahead = 0 is its next one: rows go by falling
     id (null last), those of one id by text, and behind the last comes the first. Rows with ahead = 1 are copies of
-    the first row of the next range, one a range.
+    the first row of the next range, one a range (or those of its id that begin alike).
 
-    The ranges come from quantiles of the ids; to the driver come the ranges' bounds and largest ids, a few for each
-    partition of a shuffle.
+    The ranges come from quantiles of the ids and, of an id that has the rows of several ranges, of how its texts begin.
+    To the driver come the ranges' bounds, sizes and first rows' beginnings, a few for each partition of a shuffle;
+    ranges are dealt to the partitions by size.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = buckets or 3 * parts
     least = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"))
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", [i / number for i in range(1, number)] or [0.5], 10 * number)).first()[0] or []))
-    # the bucket is the number of bounds below the key, counted in two steps
-    group = max(1, round(len(bounds) ** 0.5))
+    accuracy = lambda n: max(10_000, 10 * n)
+    quantiles = sorted(rows.agg(F.percentile_approx("key", [i / number for i in range(1, number)] or [0.5], accuracy(number))).first()[0] or [])
+    bounds = sorted(set(quantiles))
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
+    # an id that is several quantiles has as many ranges, by the first 7 bytes of its texts
+    front = F.conv(F.hex(F.rpad(F.substring(F.encode("text", "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+    heavy = {k: n for k in bounds if (n := quantiles.count(k)) > 1}
+    cuts: dict[int, list[int]] = {}
+    if heavy:
+        most = max(heavy.values())
+        found = rows.where(F.col("key").isin(list(heavy))).groupBy("key").agg(F.percentile_approx(front, [i / most for i in range(1, most)], accuracy(most)).alias("cuts")).collect()
+        cuts = {r["key"]: sorted(set(r["cuts"])) for r in found}
+    # the bucket is the number of bounds below the key, counted in two steps, and of an id's cuts not below the text
+    group = max(1, round(len(bounds) ** 0.5))
     below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("key")))
     whole = F.greatest(below(longs(bounds[::group])) - 1, F.lit(0)) * group
-    bucket = (whole + below(F.slice(longs(bounds), whole + 1, group))).cast("int")
-    heads = {r["bucket"]: r["head"] for r in rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("head")).collect()}
+    place = whole + below(F.slice(longs(bounds), whole + 1, group))
+    begin = [0]
+    for k in bounds:
+        begin.append(begin[-1] + 1 + (len(cuts[k]) + 1 if k in cuts else 0))
+    inner = F.lit(0)
+    for k, c in cuts.items():
+        inner = F.when(F.col("key") == k, 1 + F.size(F.filter(longs(c), lambda x: x >= front))).otherwise(inner)
+    bucket = (F.get(longs(begin), place) + inner).cast("int")
+    first = F.struct(F.bitwise_not("key").alias("turn"), F.substring("text", 1, 64).alias("front"))
+    heads = {r["bucket"]: r for r in rows.select(bucket.alias("bucket"), first.alias("first")).groupBy("bucket").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
     held = sorted(heads)
     above = {b: held[(i + 1) % len(held)] for i, b in enumerate(held)}  # the range whose last row is followed by b's first
-    last = max(held, default=0)
-    head = F.element_at(longs([heads.get(b, least) for b in range(last + 1)]), F.col("bucket") + 1)
-    to = F.element_at(longs([above.get(b, 0) for b in range(last + 1)]), F.col("bucket") + 1).cast("int")
-    places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead")), F.struct(F.when(F.col("key") == head, to).alias("bucket"), F.lit(1).alias("ahead")))
+    total, before, part = sum(r["n"] for r in heads.values()), 0, {}
+    for b in held:
+        part[b] = before * parts // total
+        before += heads[b]["n"]
+    every = range(max(held, default=0) + 1)
+    texts = F.array(*[F.lit(heads[b]["first"]["front"] if b in heads else "") for b in every])
+    by_bucket = lambda xs: F.get(longs(xs), F.col("bucket"))
+    is_head = (F.col("key") == by_bucket([~heads[b]["first"]["turn"] if b in heads else least for b in every])) & (F.substring("text", 1, 64) == F.get(texts, F.col("bucket")))
+    to = F.when(is_head, by_bucket([above.get(b, 0) for b in every]).cast("int"))
+    places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead")), F.struct(to.alias("bucket"), F.lit(1).alias("ahead")))
     dealt = rows.withColumn("bucket", bucket).withColumn("place", F.explode(places)).where("place.bucket is not null")
     return (
-        dealt.select("doc_id", "text", "key", "place.bucket", "place.ahead").repartition(parts, "bucket")
+        dealt.select("doc_id", "text", "key", "place.bucket", "place.ahead").repartitionById(parts, by_bucket([part.get(b, 0) for b in every]).cast("int"))
         .sortWithinPartitions("bucket", "ahead", F.desc("key"), "text").select("doc_id", "text", "bucket", "ahead")
     )
 

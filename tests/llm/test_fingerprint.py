@@ -72,3 +72,18 @@ def test_few_rows(spark, tmp_path):
     for n in (0, 1, 2, 3):
         rows = awkward()[4 : 4 + n]
         check(spark, saved(spark, tmp_path, rows), rows)
+
+
+def test_one_id_of_many_rows(spark, tmp_path):
+    """A third of the rows without an id, and a third with one: their ranges are parted by how the texts begin."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(c) for c in rng.integers(97, 123, 9))
+    keys = [None] * 40 + [7] * 40 + list(range(100, 140))
+    rows = [(k, " ".join(word() for _ in range(12)), "en", "a", 1, "", "") for k in keys]
+    rows += [(None, rows[0][1], "en", "a", 1, "", "")] * 3
+    check(spark, saved(spark, tmp_path, rows), rows)
+    dealt = fp.beside_next(spark.read.parquet(f"{tmp_path}/sf/documents.parquet"))
+    from pyspark.sql import functions as F
+
+    n = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(n) == 4 and max(n) < 60
