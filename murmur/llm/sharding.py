@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_text, uniform
+from .common import id_text, uniform, written
 
 
 @dataclass(frozen=True)
@@ -65,34 +65,40 @@ def place(key: Column, tree: Node) -> Column:
     return F.element_at(F.array(*[F.lit(n.shard) for n in level]), at + 1).cast("int")
 
 
+#: Equal rows that are numbered as one step.
+STEP = 65_536
+
+
 def shard(docs: DataFrame, tree: Node, grown: Node, *, id_col: str = "doc_id", text_col: str = "text", pieces: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard. The law is `key`.
 
-    Slots are gapless from 0 in each shard. A shard's rows are numbered in `pieces` parts by a hash of the row, each
-    part starting where the counts of those before it end, so no task sorts a whole shard; the counts are at most
-    shards x pieces rows and so are broadcast.
+    Slots are gapless from 0 in each shard. A shard's rows are numbered in `pieces` parts by a hash of id and text, each
+    part starting where the counts of those before it end, so no task sorts a whole shard, nor the rows of one id; the
+    counts are at most shards x pieces rows and so are broadcast. Equal rows are counted before the shuffle and
+    numbered as one, then dealt out again in steps.
 
     A null text has size 16 and crc 0, as the empty one. A null id is a key of its own. Repeated rows get slots of
     their own. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = id_text(F.col(id_col))
-    part = (F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), key)), 1, 5), 16, 10).cast("int") % pieces)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("piece"), key.alias("key"))
-    ends = (
-        narrow.select(place(F.col("key"), tree).alias("shard"), "piece").groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-        .select("shard", "piece", (F.sum("n").over(W.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("before"))
-    )
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), part.alias("piece"), key.alias("key"),
+        F.col(id_col).cast("long").alias("doc_id"), id_text(F.col(id_col)).alias("key"),
         (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    ).groupBy("doc_id", "key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("slot"), "key", F.col("text_crc32").cast("string"), F.col("size").cast("string"))), 1, 5), 16, 10).cast("int") % pieces
+    placed = written(rows.select("doc_id", "size", "text_crc32", "n", part.alias("piece"), place(F.col("key"), tree).alias("shard"), place(F.col("key"), grown).alias("grown_shard")), "sharding")
+    ends = (
+        placed.groupBy("shard", "piece").agg(F.sum("n").alias("m"))
+        .select("shard", "piece", (F.sum("m").over(W.partitionBy("shard").orderBy("piece")) - F.col("m")).alias("before"))
     )
-    placed = rows.select("doc_id", "piece", "size", "text_crc32", place(F.col("key"), tree).alias("shard"), place(F.col("key"), grown).alias("grown_shard"))
-    turn = F.row_number().over(W.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        placed.withColumn("turn", turn).join(F.broadcast(ends), ["shard", "piece"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("turn") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    until = F.sum("n").over(W.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0))
+    begun = placed.withColumn("turn", until - F.col("n")).join(F.broadcast(ends), ["shard", "piece"])
+    at = (F.col("before") + F.col("turn")).cast("long")
+    one = begun.where("n = 1").withColumn("slot", at)
+    steps = begun.where("n > 1").withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STEP).cast("long"))))
+    several = steps.repartition("shard", "piece", "turn", "step").withColumn("i", F.explode(F.sequence("step", F.least(F.col("step") + STEP, F.col("n")) - 1))).withColumn("slot", at + F.col("i"))
+    columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"]
+    return one.select(*columns).union(several.select(*columns))
 
 
 #: Production tree of the query: 40 shards.
@@ -136,7 +142,7 @@ with docs as (select doc_id, coalesce(text, '') as text from documents), keys as
 {_CRC}, {", ".join(parts)},
 rows as (
   select doc_id, (strlen(text) + 16)::bigint as size, text_crc32, {last["a"]}.shard::int as shard, {last["g"]}.shard::int as grown_shard,
-         ('0x' || substr(md5('slot|' || key), 1, 5))::bigint % {pieces} as piece
+         ('0x' || substr(md5('slot|' || key || '|' || text_crc32 || '|' || strlen(text) + 16), 1, 5))::bigint % {pieces} as piece
   from crc join {last["a"]} on {last["a"]}.key = coalesce(doc_id::varchar, 'null') join {last["g"]} using (key)
 )
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by piece, doc_id, text_crc32, size) - 1 as slot, grown_shard from rows

@@ -50,3 +50,19 @@ def test_a_new_shard_takes_rows_only_into_itself(spark):
     rows = ids.select(*[sharding.place(F.col("id"), t).alias(n) for t, n in ((a, "a"), (b, "b"), (c, "c"))]).collect()
     assert all(r.b in (r.a, 40) and r.c in (r.b, 41) for r in rows)
     assert abs(sum(r.b == 40 for r in rows) / 20_000 - 1 / 41) < 0.005
+
+
+def test_equal_and_unnamed_rows(spark):
+    """A third of the rows without an id, a third equal ones: slots stay gapless, numbered in steps."""
+    rows = [(None, f"text {i}", None, None, 1, "", "") for i in range(300)] + [(7, "the same", None, None, 1, "", "")] * 300 + [(1000 + i, None, None, None, 1, "", "") for i in range(300)]
+    before, sharding.STEP = sharding.STEP, 64
+    try:
+        got = sharding.shard(frame(spark, rows), sharding.PLANNED, sharding.add_shard(sharding.PLANNED)).collect()
+    finally:
+        sharding.STEP = before
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    same = [r.slot for r in got if r.doc_id == 7]
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1 and sorted(same) == list(range(min(same), min(same) + 300))
