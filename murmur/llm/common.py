@@ -71,6 +71,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_KEY, BATCH_BYTES)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage and give back the memory: a heap that earlier steps have filled stays
+    as large as it got, and Python workers need the room. For between the stages of a long session."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 _held: dict[Hashable, Any] = {}
 
 

@@ -173,7 +173,7 @@ def mix(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_
     if number == 0:
         p = counts.select(*names, F.lit(None).cast("double").alias("p"))
     elif number <= s.max_cells:
-        p = _on_driver(counts, s)
+        p = F.broadcast(_on_driver(counts, s))  # max_cells rows at most
     else:
         p = _on_executors(counts, s)
     drawn = uniform(F.concat(F.lit(f"{s.seed}|"), id_text(F.col(id_col))))
