@@ -8,34 +8,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, language, mixing, near_dedup, pii
-from murmur.llm.common import scratch_path, written
+from murmur.llm.common import release, scratch_path, written
 
 
 def identify_language(spark, docs, sf_dir):
     """Documents with a letter whose language is told with some certainty; the others go."""
+    release(spark)
     path = language.pieces_path()
     return language.keep_identified(docs, language.learn(docs, path), path)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    release(spark)
     gone = written(near_dedup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct(), "near-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def sanitise_personal_data(spark, docs, sf_dir):
     """All documents, personal data in their texts replaced and what discloses it generalised or removed."""
+    release(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):
     """Documents drawn so that sources, languages and topics come near their target weights."""
+    release(spark)
     return mixing.mix(docs).where("__kept").select(*docs.columns)
 
 
 def encode_bpe(spark, docs, sf_dir):
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each document, with the SHA-256 of the ids
     and of the text that they decode to."""
+    release(spark)
     rows = bpe.encode(docs, bpe.vocabulary_path(), decoded=True)
     return rows.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
