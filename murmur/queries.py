@@ -122,27 +122,26 @@ def cross_cov_obs(spark, sf):
 
 @query(f"""with {STATE_SQL} select label, a.cell as i, b.cell as j,
   {r('covar_pop(a.x, b.x) / (greatest(stddev_pop(a.x), 1e-6) * greatest(stddev_pop(b.x), 1e-6))')} as rho
-from state a join state b using (label, member) where b.cell < 8 group by all""")
+from state a join state b using (label, member) group by all""")
 def corr_floor(spark, sf):
-    a, b = _two(spark, sf, list(range(8)))
+    a, b = _two(spark, sf)
     return rounded(statistics.correlation(a, b, ["label"]))
 
 
-@query(f"""with {STATE_SQL}, c as (select label, a.cell as i, b.cell as j, covar_samp(a.x, b.x) as cov from state a join state b using (label, member)
-  where a.cell < 8 and b.cell < 8 group by all)
+@query(f"""with {STATE_SQL}, c as (select label, a.cell as i, b.cell as j, covar_samp(a.x, b.x) as cov from state a join state b using (label, member) group by all)
 select c.label, c.i, c.j, {r('c.cov / sqrt(p.cov * q.cov)')} as rho from c join c p on p.label = c.label and p.i = c.i and p.j = c.i
 join c q on q.label = c.label and q.i = c.j and q.j = c.j""")
 def cov_to_corr(spark, sf):
-    x = state_long(spark, sf).where("cell < 8")
+    x = state_long(spark, sf)
     cov = statistics.cross_covariance(x.withColumnRenamed("cell", "i"), x.withColumnRenamed("cell", "j"), ["label"])
     return rounded(statistics.cov_to_corr(cov, ["label"]))
 
 
-@query(f"""with {STATE_SQL}, s as (select label, cell, stddev_samp(x) as s from state where cell < 8 group by all),
-c as (select label, a.cell as i, b.cell as j, covar_samp(a.x, b.x) as cov from state a join state b using (label, member) where a.cell < 8 and b.cell < 8 group by all)
+@query(f"""with {STATE_SQL}, s as (select label, cell, stddev_samp(x) as s from state group by all),
+c as (select label, a.cell as i, b.cell as j, covar_samp(a.x, b.x) as cov from state a join state b using (label, member) group by all)
 select label, i, j, {r('cov', 9)} as cov from c""")
 def corr_to_cov(spark, sf):
-    x = state_long(spark, sf).where("cell < 8")
+    x = state_long(spark, sf)
     cov = statistics.cross_covariance(x.withColumnRenamed("cell", "i"), x.withColumnRenamed("cell", "j"), ["label"])
     spread = x.groupBy("label", F.col("cell").alias("i")).agg(F.stddev_samp("x").alias("std"))
     return rounded(statistics.corr_to_cov(statistics.cov_to_corr(cov, ["label"]), spread, ["label"]), 9)
@@ -476,9 +475,9 @@ def cost_rosenbrock(spark, sf):
     return rounded(objective.rosenbrock(_controls(spark, sf)))
 
 
-@query(f"""with {STATE_SQL} select member, {r('1.5 * sum(case when cell < 4 then x * x else pow(greatest(-x, 0), 2) end)')} as f from state where cell < 8 group by member""")
+@query(f"""with {STATE_SQL} select member, {r('1.5 * sum(case when cell < 4 then x * x else pow(greatest(-x, 0), 2) end)')} as f from state group by member""")
 def penalty_ext(spark, sf):
-    c = _controls(spark, sf).where("i < 8").select("member", F.when(F.col("i") < 4, "eq").otherwise("iq").alias("kind"), F.col("x").alias("c"))
+    c = _controls(spark, sf).select("member", F.when(F.col("i") < 4, "eq").otherwise("iq").alias("kind"), F.col("x").alias("c"))
     return rounded(objective.exterior_penalty(c, 3.0))
 
 
@@ -491,13 +490,13 @@ def enopt_gradient(spark, sf):
     return rounded(objective.gradient(x, objective.quadratic(x)), 9)
 
 
-@query(_F + f""", m as (select cell, avg(x) as m from state group by cell), d as (select member, cell, x - m as dx from state join m using (cell) where cell < 16),
+@query(_F + f""", m as (select cell, avg(x) as m from state group by cell), d as (select member, cell, x - m as dx from state join m using (cell)),
 e as (select member, f - avg(f) over () as df from f)
 select a.cell as i, b.cell as j, {r('avg(df * (a.dx * b.dx - case when a.cell = b.cell then 0.01 else 0 end))', 9)} as h from d a join d b using (member) join e using (member) group by all""")
 def enopt_hessian(spark, sf):
     x = _controls(spark, sf)
-    cov = spark.range(16).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0.01).alias("c"))
-    return rounded(objective.hessian(x.where("i < 16"), objective.quadratic(x), cov), 9)
+    cov = spark.range(SIDE * SIDE).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0.01).alias("c"))
+    return rounded(objective.hessian(x, objective.quadratic(x), cov), 9)
 
 
 _SMC = _F + ", e as (select member, exp(least(-(f - min(f) over ()) * 2.0, 10)) + 1e-6 as e from f), w as (select member, e / sum(e) over () as w from e)"
@@ -637,14 +636,14 @@ def event_windows(spark, sf):
 # -- whole runs -------------------------------------------------------------------------------------------------------------
 
 
-def _problem(spark, sf, label: int) -> assimilation.Problem:
+def _problem(spark, sf, label: int, cells: list[int] | None = None) -> assimilation.Problem:
     """A twin experiment: a label's members, linear data at a few cells of the first member."""
     x = state_long(spark, sf).where(F.col("label") == label)
     first = x.agg(F.min("member")).first()[0]
     truth = x.where(F.col("member") == first)
     state = layout.to_matrix(x.where(F.col("member") != first).select(F.lit("x").alias("param"), "cell", "member", "x"), ["param", "cell"])
     n = state.select(F.size("x")).first()[0]
-    cells = [1, 8, 21, 40, 63]
+    cells = cells or [1, 8, 21, 40, 63]
     obs = truth.where(F.col("cell").isin(cells)).select(F.col("cell").alias("report"), F.lit("value").alias("datatype"), F.lit(0).alias("comp"), F.col("x").alias("d"), F.lit(SIGMA**2).alias("v"))
     forward = lambda s: s.where(F.col("cell").isin(cells)).select(F.col("cell").alias("report"), F.lit("value").alias("datatype"), F.lit(0).alias("comp"), F.col("x").alias("y"))
     return assimilation.Problem(state, forward, obs, n)
@@ -704,7 +703,9 @@ def local_analysis(spark, sf):
     return _each_label(spark, sf, run)
 
 
-@query()
+@query(f"""with {STATE_SQL}, n as (select *, row_number() over (partition by label, cell order by member) - 2 as n from state),
+y as (select label, cell, n, x - avg(x) over (partition by label, cell) as y, count(*) over (partition by label, cell) - 1 as k from n where n >= 0 and cell in (1, 8, 21, 40, 63))
+select label, a.n::int as i, b.n::int as j, {r(f'sum(a.y * b.y) / any_value(a.k) / {SIGMA**2!r}')} as g from y a join y b using (label, cell) group by label, a.n, b.n""")
 def gram_matrix(spark, sf):
     """Members x members products, summed where the data are."""
 

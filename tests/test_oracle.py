@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from murmur import queries
+from murmur import queries, step_queries  # noqa: F401  (adds its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
