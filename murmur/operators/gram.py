@@ -151,6 +151,12 @@ class Grams:
         keep = w > max(w[0], 0) * 1e-14
         return np.sqrt(w[keep]), v[:, keep]
 
+    def leading(self, energy: float, rule: str = "below") -> tuple[np.ndarray, np.ndarray]:
+        """The part of spectrum() that holds the energy."""
+        s, v = self.spectrum()
+        k = len(s) if energy >= 1 else energy_rank(s, energy, rule)
+        return s[:k], v[:, :k]
+
 
 def member_misfit(data: DataFrame) -> np.ndarray:
     """Each member's sum of squares of e - y over v, from rows with arrays e and y."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import tapers
 
-from .gram import _rows, projected
+from .gram import Grams, _rows, data_grams, projected, transformed
 
 
 @dataclass(frozen=True)
@@ -180,36 +180,72 @@ def adaptive_state(state: DataFrame, projections: np.ndarray, times: float = 1.0
     return state.mapInArrow(run, StructType([*state.schema.fields, StructField("taper", ArrayType(DoubleType()))]))
 
 
-def local_update(state: DataFrame, data: DataFrame, mask: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
-    """state after an update in which a parameter's row meets datum n with weight rho: the row's step is
-    (rho * (xc Yc')) (Yc Yc' + alpha I)^-1 R, of whitened data that are few enough to be broadcast.
-
-    data: datum (0, 1, ...), y, e, v; mask: param, cell, datum, rho, absent meaning 0 (no mask: 1 everywhere)."""
-    rows = data.orderBy("datum").collect()  # observations of one step: their number bounds the broadcast
-    sd = np.sqrt([r["v"] for r in rows])[:, None]
-    y, e = (np.array([r[c] for r in rows]) for c in "ye")
-    yc = projected(y) / sd
-    solved = np.linalg.solve(yc @ yc.T + alpha * np.eye(len(rows)), (e - y) / sd)
-    shared = state.sparkSession.sparkContext.broadcast((yc, solved))
-    joined = state
-    if mask is not None:
-        pairs = mask.groupBy("param", "cell").agg(F.map_from_entries(F.collect_list(F.struct("datum", "rho"))).alias("__rho"))
-        every = F.sequence(F.lit(0), F.lit(len(rows) - 1))
-        joined = state.join(pairs, ["param", "cell"], "left").withColumn("__rho", F.transform(every, lambda n: F.coalesce(F.try_element_at("__rho", n), F.lit(0.0)))).select(*state.columns, "__rho")
-    at, width, masked = state.columns.index("x"), len(state.columns), mask is not None
+#: Cells of a parameter in one tile of a local update.
+TILE = 256
+
+
+def local_update(state: DataFrame, data: DataFrame, mask: DataFrame | None = None, alpha: float = 1.0, keys: tuple[str, ...] = ("datum",)) -> DataFrame:
+    """state after an update in which a parameter's row meets a datum with weight rho: the row's step is
+    (rho * (xc Yc')) (Yc Yc' + alpha I)^-1 R, of whitened data.
+
+    data: keys, y, e, v; mask: param, cell, keys, rho, absent meaning 0 (no mask: 1 everywhere). The inverse is applied by
+    members x members sums, (R - Yc (alpha I + Yc' Yc)^-1 Yc' R) / alpha, so a datum's row needs no other. A task holds a
+    tile of TILE cells and the data in reach of any of them."""
+    grams = data_grams(data)
+    inner = np.linalg.solve(alpha * np.eye(grams.members) + grams.g, grams.h)
+    if mask is None:
+        return transformed(state, inner)
+    shared = state.sparkSession.sparkContext.broadcast(inner)
+    tile = F.floor(F.col("cell") / TILE).cast("long").alias("__tile")
+    reach = mask.select("param", tile, *keys, F.struct("cell", "rho").alias("__at")).groupBy("param", "__tile", *keys).agg(F.collect_list("__at").alias("__reach"))
+    near = reach.join(data.select(*keys, "y", "e", "v"), list(keys)).select("param", "__tile", "__reach", "y", "e", "v")
+    columns = state.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select(columns)
+        x, y, e = (_rows(t.column(c).combine_chunks()) for t, c in ((left, "x"), (right, "y"), (right, "e")))
+        sd = np.sqrt(right.column("v").to_numpy())[:, None]
+        yc = projected(y) / sd
+        solved = ((e - y) / sd - yc @ shared.value) / alpha
+        cells, at = left.column("cell").to_numpy(), right.column("__reach").combine_chunks()
+        hits, datum = at.flatten(), np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+        hit, weight = (hits.field(n).to_numpy(zero_copy_only=False) for n in ("cell", "rho"))
+        order = np.argsort(cells)
+        spot = order[np.minimum(np.searchsorted(cells, hit, sorter=order), len(cells) - 1)]
+        known = cells[spot] == hit
+        rho = np.zeros((len(cells), len(yc)))
+        rho[spot[known], datum[known]] = weight[known]
+        new = x + (rho * (projected(x) @ yc.T)) @ solved
+        offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
+        return left.select(columns).set_column(columns.index("x"), "x", pa.ListArray.from_arrays(pa.array(offsets), pa.array(new.ravel())))
+
+    return state.select("*", tile).groupBy("param", "__tile").cogroup(near.groupBy("param", "__tile")).applyInArrow(run, state.schema)
+
+
+def adaptive_update(state: DataFrame, grams: Grams, lam: float = 0.0, energy: float = 1.0, times: float = 1.0, kind: str = "hard", seed: int = 0) -> DataFrame:
+    """state after an update in which each row meets each singular direction of the data by adaptive_state()'s taper."""
+    s, v = grams.leading(energy)
+    tapered = adaptive_state(state, v, times, kind, seed)
+    shared = state.sparkSession.sparkContext.broadcast((v, (v.T @ grams.h) / (lam + 1 + s**2)[:, None]))
+    at, width = state.columns.index("x"), len(state.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yc, solved = shared.value
+        directions, pulls = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _rows(batch.column(at))
-            c = projected(x) @ yc.T
-            if masked:
-                c = c * _rows(batch.column(width))
-            new = x + c @ solved
-            out = batch.select(list(range(width)))
-            offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
-            yield out.set_column(at, "x", pa.ListArray.from_arrays(pa.array(offsets), pa.array(new.ravel())))
-
-    return joined.mapInArrow(run, state.schema)
+            if batch.num_rows:
+                x = _rows(batch.column(at))
+                new = x + (_rows(batch.column(width)) * (projected(x) @ directions)) @ pulls
+                offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
+                yield batch.select(list(range(width))).set_column(at, "x", pa.ListArray.from_arrays(pa.array(offsets), pa.array(new.ravel())))
+
+    return tapered.mapInArrow(run, state.schema)
+
+
+def by_datum(mask: DataFrame, data: DataFrame, keys: list[str]) -> DataFrame:
+    """masks() (report null: all reports) as param, cell, keys, rho for the data present; the larger rho counts."""
+    names = data.select(*keys)
+    every = mask.where("report is null").drop("report").join(names, "datatype")
+    one = mask.where("report is not null").join(names, ["report", "datatype"])
+    columns = ["param", "cell", *keys]
+    return every.select(*columns, "rho").unionByName(one.select(*columns, "rho")).groupBy(*columns).agg(F.max("rho").alias("rho"))

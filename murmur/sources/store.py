@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import logging
 import os
+import time
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +30,26 @@ def save_state(df: DataFrame, path: str, kind: str = "parquet", order: str = "i"
 
 
 def checkpoint(folder: str, iteration: int, tables: dict[str, DataFrame], settings: dict) -> None:
-    """A run's tables and settings; the manifest is written last, so a checkpoint without one is not complete."""
+    """A run's tables and settings. Every checkpoint has a folder of its own and its manifest row comes last, so one that
+    was cut off, or written again after a restart, harms none before it."""
     spark = next(iter(tables.values())).sparkSession
+    place = f"{folder}/{iteration}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{iteration}/{name}")
-    row = [(iteration, sorted(tables), json.dumps(settings, sort_keys=True))]
-    spark.createDataFrame(row, "iteration int, tables array<string>, settings string").coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+        df.write.parquet(f"{place}/{name}")
+    row = [(iteration, time.time_ns(), place, sorted(tables), json.dumps(settings, sort_keys=True))]
+    spark.createDataFrame(row, "iteration int, at long, place string, tables array<string>, settings string").coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
 
 
 def restart(spark: SparkSession, folder: str) -> tuple[int, dict[str, DataFrame], dict]:
-    """The last complete checkpoint: iteration, tables, settings."""
-    row = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("iteration")).first()
-    return row["iteration"], {n: spark.read.parquet(f"{folder}/{row['iteration']}/{n}") for n in row["tables"]}, json.loads(row["settings"])
+    """The checkpoint completed last: iteration, tables, settings."""
+    row = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("at")).first()
+    return row["iteration"], {n: spark.read.parquet(f"{row['place']}/{n}") for n in row["tables"]}, json.loads(row["settings"])
+
+
+def has_checkpoint(spark: SparkSession, folder: str) -> bool:
+    """Whether folder, in whatever file system, has a manifest with a row committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/*.parquet")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
 
 
 def export_state(state: DataFrame, path: str) -> None:

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,103 @@ def test_rejected_steps_are_rolled_back(problem):
     assert result.trace_table(p.state.sparkSession).count() == len(result.trace)
 
 
+def dense_update(x, rho, e, v):
+    """x moved by the dense gain whose entries are multiplied by rho (cells x data)."""
+    y = x[CELLS]
+    xc, yc = gram.projected(x), gram.projected(y)
+    return x + (rho * (xc @ yc.T)) @ np.linalg.solve(yc @ yc.T + v * np.eye(len(CELLS)), e - y)
+
+
+def test_localized_mda_is_the_dense_one(spark, problem):
+    p, x = problem
+    rho = {(0, 1): 0.5, (1, 1): 1.0, (2, 1): 0.25, (2, 4): 0.5, (4, 4): 1.0}
+    rows = [("x", c, "v", d, w) for (c, d), w in rho.items()] + [("x", 3, "v", None, 0.3), ("x", 5, "v", 9, 1.0)]
+    mask = spark.createDataFrame(rows, "param string, cell int, datatype string, report int, rho double")
+    local = replace(p, mask=mask)
+    dense = np.zeros((NX, 2))
+    for (c, d), w in rho.items():
+        dense[c, CELLS.index(d)] = w
+    dense[3] = 0.3
+    want = x
+    for i, alpha in enumerate((2.0, 2.0)):
+        e = np.array([r["e"] for r in p.data(p.state, f"mda{i}", alpha).orderBy("report").collect()])
+        want = dense_update(want, dense, e, 0.25 * alpha)
+    got = members(da.esmda(local, [2.0, 2.0]).state)
+    assert np.allclose(got, want) and np.array_equal(got[5], x[5])
+    kept = [t["misfit"] for t in da.lm_enrml(local, lam=1.0, max_iter=2).trace if t["accepted"]]
+    assert kept[-1] < kept[0]
+    with pytest.raises(ValueError, match="localized"):
+        da.es(local, "subspace")
+    with pytest.raises(ValueError, match="localized"):
+        da.gn_enrml(local)
+
+
+def test_adaptive_loop_leaves_uncorrelated_rows(problem):
+    p, x = problem
+    far = replace(p, adaptive=1e6)
+    assert np.allclose(members(da.es(far).state), x)
+    assert np.allclose(members(da.es(replace(p, adaptive=0.0)).state), members(da.es(p).state))
+
+
+def test_full_pulls_to_the_prior(problem):
+    p, x = problem
+    assert np.allclose(members(da.es(p, "full").state), members(da.es(p).state))  # nothing has moved yet
+    two, plain = (members(da.esmda(p, [2.0, 2.0], f).state) for f in ("full", "approx"))
+    assert np.linalg.norm(two.mean(1) - x.mean(1)) < np.linalg.norm(plain.mean(1) - x.mean(1))
+
+
+def test_screening_widens_variances_beyond_the_members(spark, problem):
+    p, x = problem
+    far = replace(p, obs=spark.createDataFrame([(1, "v", 0, 50.0, 0.25), (4, "v", 0, -1.0, 0.25), (9, "v", 0, 1.0, 0.5)], p.obs.schema), screen=True)
+    got = {r["report"]: r["v"] for r in far.screened().obs.collect()}
+    assert np.isclose(got[1], (50 - x[1].max()) ** 2) and got[4] == 0.25 and got[9] == 0.5
+
+
+def test_failed_and_far_members_are_replaced(spark, problem):
+    p, x = problem
+    wild = x.copy()
+    wild[1, 7] = 500.0
+    state = spark.createDataFrame([("x", i, r.tolist()) for i, r in enumerate(wild)], "param string, cell int, x array<double>")
+
+    def forward(s):
+        dead = F.transform("y", lambda v, m: F.when(m != 3, v))
+        return p.forward(s).withColumn("y", dead)
+
+    sick = replace(p, state=state, forward=forward, repair=True)
+    new, data = sick.met(state, "n")
+    got, y = members(new), np.array([r["y"] for r in data.orderBy("report").collect()])
+    for m in (3, 7):
+        assert any(np.array_equal(got[:, m], wild[:, k]) for k in range(NE) if k not in (3, 7))
+        assert np.array_equal(y[:, m], got[CELLS, m])
+    rest = [k for k in range(NE) if k not in (3, 7)]
+    assert np.array_equal(got[:, rest], wild[:, rest])
+    with pytest.raises(RuntimeError, match="every member failed"):
+        replace(sick, forward=lambda s: p.forward(s).withColumn("y", F.transform("y", lambda v: F.lit(None).cast("double")))).met(state, "n")
+    with pytest.raises(ValueError, match="replaced"):
+        da.lm_enrml(sick, "subspace")
+
+
+@pytest.mark.parametrize("run", [
+    lambda p, n: da.esmda(p, [4.0] * 4), lambda p, n: da.lm_enrml(p, lam=1.0, max_iter=n, tol=0.0), lambda p, n: da.gn_enrml(p, max_iter=n, tol=0.0),
+], ids=["esmda", "lmenrml", "gnenrml"])
+def test_a_stopped_run_resumes(problem, tmp_path, run):
+    p, _ = problem
+    want = run(p, 3)
+    forecasts = []
+
+    def breaks(s):
+        forecasts.append(1)
+        if len(forecasts) == 3:
+            raise OSError("stopped")
+        return p.forward(s)
+
+    with pytest.raises(OSError, match="stopped"):
+        run(replace(p, keep=str(tmp_path / "run"), forward=breaks), 3)
+    got = run(replace(p, keep=str(tmp_path / "run")), 3)
+    assert np.allclose(members(got.state), members(want.state))
+    assert [t["misfit"] for t in got.trace] == pytest.approx([t["misfit"] for t in want.trace])
+
+
 def test_gies_and_names(problem):
     result = da.gies(problem[0], max_iter=2)
     assert result.trace[-1]["misfit"] < result.trace[0]["misfit"]
