@@ -184,9 +184,11 @@ def disclosures(rows: DataFrame, holders: DataFrame, words: DataFrame, scratch:
     counted over all documents, whole. Entities and pairs in fewer than SUPPORT different texts give no estimate.
     """
     n = rows.count()
-    terms = words.select("__id", "__hash", F.explode(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("term")).distinct()
-    pairs = terms.join(holders, ["__id", "__hash"])
-    pairs = pairs.groupBy("kind", "entity", "n_e", "term", "__hash").agg(F.sum("w").alias("w")).groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("w").alias("n_te"))
+    # equal texts have the same terms and entities: a text is met with its entities once, by the rows that hold it
+    terms = words.groupBy("__hash").agg(F.first(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("terms"))
+    texts = holders.groupBy("__hash", "kind", "entity", "n_e").agg(F.sum("w").alias("w"))
+    pairs = terms.join(texts, "__hash").select("kind", "entity", "n_e", "w", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("w").alias("n_te"))
     pairs = scratch.written(pairs.where(F.col("texts") >= SUPPORT).drop("texts"), "pairs")
     wanted = scratch.written(pairs.select("term").distinct(), "terms")
     few = wanted.count()
