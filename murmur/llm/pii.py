@@ -175,35 +175,44 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosures(rows: DataFrame, holders: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
-    """kind, entity, term, share, action for every term that discloses an entity; rows: all documents, with __text and
-    __base.
+def disclosing(rows: DataFrame, holders: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """__hash, term, value for every term of a text that discloses an entity of it, with the action; rows: all documents,
+    with __text and __base; texts: __hash and __rest, the texts with holders' entities without their entities.
 
     share is the mutual information of term and entity over the entity's information, log2 of inverse frequencies of
     documents. All of them (n documents, n_e with the entity, n_t with the term outside entities, n_te with both) are
     counted over all documents, whole. Entities and pairs in fewer than SUPPORT different texts give no estimate.
+
+    As n_te is n_e at most, a share of GENERALISE takes n_t <= n_e (n / n_e) ** (1 - GENERALISE): terms are counted before
+    they meet entities, and only those pairs are made that can disclose.
     """
-    n = rows.count()
-    # equal texts have the same terms and entities: a text is met with its entities once, by the rows that hold it
-    terms = words.groupBy("__hash").agg(F.first(F.array_distinct(F.transform("__words", lambda t: t["value"]))).alias("terms"))
-    texts = holders.groupBy("__hash", "kind", "entity", "n_e").agg(F.sum("w").alias("w"))
-    pairs = terms.join(texts, "__hash").select("kind", "entity", "n_e", "w", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("kind", "entity", "n_e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("w").alias("n_te"))
-    pairs = scratch.written(pairs.where(F.col("texts") >= SUPPORT).drop("texts"), "pairs")
-    wanted = scratch.written(pairs.select("term").distinct(), "terms")
+    n = float(max(rows.count(), 1))
+    most = lambda n_e: n_e * F.pow(F.lit(n) / n_e, F.lit(1 - GENERALISE)) * (1 + 1e-6)
+    entities = holders.groupBy("__hash", "kind", "entity", "n_e").agg(F.sum("w").alias("w"))
+    each = scratch.written(texts.select("__hash", F.explode(_terms(F.col("__rest"))).alias("term")), "terms")
+    wanted = scratch.written(each.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).select("term"), "wanted")
+    every = rows.select(F.explode(_terms(_blanked(F.col("__text"), F.col("__base")))).alias("term"))
+    count = lambda w: w.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     few = wanted.count()
-    if few:
-        every = rows.select(F.explode(_terms(_blanked(F.col("__text"), F.col("__base")))).alias("term"))
-        count = lambda w: w.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-        seen = count(every.join(F.broadcast(wanted), "term", "left_semi")) if few <= BROADCAST_TERMS else count(every).join(wanted, "term", "left_semi")
-        pairs = pairs.join(seen, "term")
+    if few == 0:
+        seen = wanted.withColumn("n_t", F.lit(0).cast("long"))
+    elif few <= BROADCAST_TERMS:
+        seen = count(every.join(F.broadcast(wanted), "term", "left_semi"))
     else:
-        pairs = pairs.withColumn("n_t", F.col("n_te"))
-    own = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+        seen = count(every).join(wanted, "term", "left_semi")
+    top = holders.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
+    rare = scratch.written(seen.where(F.col("n_t") <= top), "rare")
+    rare = F.broadcast(rare) if rare.count() <= BROADCAST_TERMS else rare
+    met = each.join(rare, "term").join(entities, "__hash").where(F.col("n_t") <= most(F.col("n_e")))
+    met = scratch.written(met, "met")
+    pairs = met.groupBy("kind", "entity", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("texts"), F.sum("w").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    own = F.log2(F.lit(n) / F.col("n_e"))
+    mutual = F.log2(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     share = F.when(own > 0, mutual / own)
     action = F.when(share >= REMOVE, "remove").when(share >= GENERALISE, "generalise")
-    return pairs.withColumn("share", share).withColumn("action", action).where("action is not null").select("kind", "entity", "term", "share", "action")
+    found = pairs.select("kind", "entity", "term", action.alias("value")).where("value is not null")
+    # a term that discloses several of a document's entities takes the stronger action
+    return met.select("__hash", "kind", "entity", "term").join(found, ["kind", "entity", "term"]).groupBy("__hash", "term").agg(F.max("value").alias("value"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,17 +231,18 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     with Scratch(docs.sparkSession, "pii") as scratch:
         holders = _holders(held.select("__id", "__hash", "__base"), scratch)
         some = held.select("__id", "__hash", "__text", "__base").join(holders.select("__id", "__hash").distinct(), ["__id", "__hash"], "left_semi")
+        # equal texts have the same entities and terms: from here on a text stands for all rows that hold it
+        once = some.groupBy("__hash").agg(F.first("__text").alias("__text"), F.first("__base").alias("__base"))
+        texts = scratch.written(once.select("__hash", _blanked(F.col("__text"), F.col("__base")).alias("__rest")), "texts")
+        told = scratch.written(disclosing(rows, holders, texts, scratch), "told")
         place = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"))
-        words = F.transform(occurrences(_blanked(F.col("__text"), F.col("__base")), TERM, F.lit(True)), place)
-        words = scratch.written(some.select("__id", "__hash", words.alias("__words")), "words")
-        found = scratch.written(disclosures(rows, holders, words, scratch), "disclosures")
-        # a term that discloses several of a document's entities takes the stronger action
-        told = holders.join(found, ["kind", "entity"]).groupBy("__id", "__hash", "term").agg(F.max("action").alias("value"))
-        told = words.select("__id", "__hash", F.explode("__words").alias("t")).distinct().withColumn("term", F.col("t.value")).join(told, ["__id", "__hash", "term"])
+        words = texts.join(told.select("__hash").distinct(), "__hash", "left_semi")
+        words = words.select("__hash", F.explode(F.transform(occurrences(F.col("__rest"), TERM, F.lit(True)), place)).alias("t"))
+        words = words.withColumn("term", F.col("t.value")).join(told, ["__hash", "term"])
         span = F.struct(F.col("t.start").alias("start"), F.lit(len(PATTERNS)).alias("rank"), F.col("t.end").alias("end"), F.lit("term").alias("kind"), F.col("value"))
-        extra = written(told.select("__id", "__hash", span.alias("span")).groupBy("__id", "__hash").agg(F.array_sort(F.collect_list("span")).alias("__terms")), "pii-spans")
+        extra = written(words.select("__hash", span.alias("span")).groupBy("__hash").agg(F.array_sort(F.collect_list("span")).alias("__terms")), "pii-spans")
     none = F.array().cast(extra.schema["__terms"].dataType)
-    marked = held.join(extra, ["__id", "__hash"], "left").withColumn("__terms", F.coalesce("__terms", none))
+    marked = held.join(extra, "__hash", "left").withColumn("__terms", F.coalesce("__terms", none))
     plain = rows.where(F.size("__base") == 0).withColumn("__terms", none)
     return marked.select(*plain.columns).union(plain).drop("__id", "__hash")
 
