@@ -43,9 +43,8 @@ def _moments_sql(alphas: list[float]) -> str:
 def _run(spark, sf, alphas: list[float], flavour: str) -> DataFrame:
     def one(label):
         state = assimilation.esmda(_problem(spark, sf, label, [OBSERVED]), alphas, flavour).state
-        mean = statistics.mean_of(F.col("x"))
-        spread = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (F.size("x") - 1))
-        return rounded(state.select("cell", mean.alias("mean"), spread.alias("std")))
+        x = F.col("x")
+        return rounded(state.select("cell", statistics.mean_of(x).alias("mean"), statistics.spread_of(x).alias("std")))
 
     return _each_label(spark, sf, one)
 

@@ -107,3 +107,42 @@ def test_marginal_noise_follows_residuals(frames, case):
     _, y, e, v = case
     got = values(gram.marginal_ratio(frames[1], 2.0), "datum", "v")
     assert np.allclose(got, (((e - y) ** 2).sum(1) + 2 * v) / (NE + 2))
+
+
+def test_few_data_give_the_same_weights(case):
+    """Less data than members: by rows, and by members x members sums, over several steps."""
+    rng = np.random.default_rng(9)
+    y, r, b = rng.standard_normal((5, NE)), rng.standard_normal((5, NE)), rng.standard_normal((NX, NE))
+    y = gram.projected(y) * 3
+    few, many = gram.FewData(y, r), gram.Grams(y.T @ y, y.T @ r)
+    same = lambda got, want: np.allclose(b @ got, b @ want, atol=1e-8) and np.allclose(got.dense(), want, atol=1e-8)
+    for energy in (1.0, 0.8):
+        assert same(gram.approx_weights(few, 2.0, energy), gram.approx_weights(many, 2.0, energy))
+        assert same(gram.rlmmac_weights(few, 2.0, True, energy), gram.rlmmac_weights(many, 2.0, True, energy))
+    assert same(few.solved(3.0), many.solved(3.0))
+    x0 = gram.projected(rng.standard_normal((20, NE)))
+    assert np.allclose(gram.full_weights(few, 1.0, x0.T @ x0, x0.T @ x0, x0.T @ x0), gram.full_weights(many, 1.0, x0.T @ x0, x0.T @ x0, x0.T @ x0), atol=1e-8)
+    for update, base in ((gram.subspace_weights, 0.0), (gram.subspace2_weights, 1.0)):
+        w, dense = gram.LowRank.unit(NE, base), base * np.eye(NE)
+        for lam in (0.0, 1.5, 0.3, 4.0, 0.7):
+            y = gram.projected(rng.standard_normal((5, NE)))
+            few, many = gram.FewData(y, r), gram.Grams(y.T @ y, y.T @ r)
+            w, dense = update(few, w, lam), update(many, dense, lam)
+            assert same(w, dense) and w.left.shape[1] <= NE
+            assert same(update(few, dense, lam), update(many, w, lam))
+
+
+def test_members_beyond_any_square(spark):
+    """20,000 members, of which a square has 3 GB, and two data."""
+    rng = np.random.default_rng(10)
+    n = 20_000
+    x, e = rng.standard_normal((3, n)), rng.standard_normal((2, n))
+    y, v = x[:2] + 0.1 * rng.standard_normal((2, n)), np.array([0.5, 2.0])
+    state = spark.createDataFrame([("x", i, r.tolist()) for i, r in enumerate(x)], "param string, cell int, x array<double>")
+    data = spark.createDataFrame([(i, y[i].tolist(), e[i].tolist(), float(v[i])) for i in range(2)], "datum int, y array<double>, e array<double>, v double")
+    m = gram.data_grams(data)
+    cxy, cyy = gram.projected(x) @ gram.projected(y).T, gram.projected(y) @ gram.projected(y).T
+    want = x + gram.kalman_gain(cxy, cyy, np.diag(v)) @ (e - y)
+    unit = gram.LowRank.unit
+    for w, kind in ((gram.approx_weights(m, 0.0), "step"), (gram.subspace_weights(m, unit(n, 0.0), 0.0), "prior"), (gram.subspace2_weights(m, unit(n, 1.0), 0.0), "mean")):
+        assert np.allclose(values(gram.transformed(state, w, kind)), want, atol=1e-9)
