@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.operators import gram, prior
+from murmur.operators import gram, prior, simulate
 from murmur.plans import assimilation as da
 
 NX, NE = 6, 400
@@ -237,3 +237,26 @@ def test_failed_members_take_a_donor(spark):
     y = {r["member"]: r["y"] for r in simulate.replaced(got, picks).collect()}
     assert all(y[m] == 2.0 * found.get(m, m) for m in range(9))
     assert gram.projected(np.eye(2)).shape == (2, 2)
+
+
+def test_donors_over_sectors_by_brute_force(spark):
+    """Few members (sectors without a successful one, and none at all) and many."""
+    import bisect
+    import hashlib
+
+    place = lambda m: (hashlib.md5(f"donor|{m}".encode()).hexdigest()[:15], m)
+    for n, fails in ((12, lambda m: m % 5 == 0), (12, lambda m: m != 7), (3, lambda m: True), (20_000, lambda m: m % 5 == 0), (20_000, lambda m: m % 5000 > 0)):
+        every = spark.range(n).withColumnRenamed("id", "member")
+        good = [m for m in range(n) if not fails(m)]
+        ring = sorted(place(m) for m in good)
+        want = {m: ring[bisect.bisect(ring, place(m)) % len(ring)][1] if ring else None for m in range(n) if fails(m)}
+        ok = spark.createDataFrame([(m,) for m in good], "member long")
+        got = simulate.donors(every, ok)
+        assert {r["member"]: r["donor"] for r in got.collect()} == want
+
+
+def test_donor_windows_carry_their_frames(spark):
+    """No frame that begins at its row, which Spark reads anew for each row, and no window over all members."""
+    every = spark.range(100).withColumnRenamed("id", "member")
+    plan = simulate.donors(every, every.where("member % 5 <> 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
