@@ -189,10 +189,10 @@ def local_update(state: DataFrame, data: DataFrame, mask: DataFrame | None = Non
     (rho * (xc Yc')) (Yc Yc' + alpha I)^-1 R, of whitened data.
 
     data: keys, y, e, v; mask: param, cell, keys, rho, absent meaning 0 (no mask: 1 everywhere). The inverse is applied by
-    members x members sums, (R - Yc (alpha I + Yc' Yc)^-1 Yc' R) / alpha, so a datum's row needs no other. A task holds a
+    members x members sums (of few data: data x data), (R - Yc (alpha I + Yc' Yc)^-1 Yc' R) / alpha, so a datum's row needs no other. A task holds a
     tile of TILE cells and the data in reach of any of them."""
     grams = data_grams(data)
-    inner = np.linalg.solve(alpha * np.eye(grams.members) + grams.g, grams.h)
+    inner = grams.solved(alpha)
     if mask is None:
         return transformed(state, inner)
     shared = state.sparkSession.sparkContext.broadcast(inner)
@@ -227,7 +227,7 @@ def adaptive_update(state: DataFrame, grams: Grams, lam: float = 0.0, energy: fl
     """state after an update in which each row meets each singular direction of the data by adaptive_state()'s taper."""
     s, v = grams.leading(energy)
     tapered = adaptive_state(state, v, times, kind, seed)
-    shared = state.sparkSession.sparkContext.broadcast((v, (v.T @ grams.h) / (lam + 1 + s**2)[:, None]))
+    shared = state.sparkSession.sparkContext.broadcast((v, grams.toward(v) / (lam + 1 + s**2)[:, None]))
     at, width = state.columns.index("x"), len(state.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
