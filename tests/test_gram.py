@@ -146,3 +146,25 @@ def test_members_beyond_any_square(spark):
     unit = gram.LowRank.unit
     for w, kind in ((gram.approx_weights(m, 0.0), "step"), (gram.subspace_weights(m, unit(n, 0.0), 0.0), "prior"), (gram.subspace2_weights(m, unit(n, 1.0), 0.0), "mean")):
         assert np.allclose(values(gram.transformed(state, w, kind)), want, atol=1e-9)
+
+
+def test_gram_rows_by_blocks(spark, monkeypatch, case, frames):
+    _, y, _, v = case
+    yc = gram.projected(y) / np.sqrt(v)[:, None]
+    for block in (5, 12, 100):
+        monkeypatch.setattr(gram, "BLOCK", block)
+        got = np.full((NE, NE), np.nan)
+        for r in gram.gram_rows(frames[1], NE).collect():
+            assert np.isnan(got[r["i"], r["j"]])
+            got[r["i"], r["j"]] = r["g"]
+        assert np.allclose(got, yc.T @ yc)
+
+
+def test_gram_rows_take_no_square(spark):
+    """9,000 members: 81 million rows, of which a task holds a block; before, all were Python objects of the driver."""
+    from pyspark.sql import functions as F
+
+    n = 9_000
+    data = spark.createDataFrame([(np.arange(n, dtype=float).tolist(), 4.0)], "y array<double>, v double")
+    got = gram.gram_rows(data, n).agg(F.count("*").alias("n"), F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("trace")).first()
+    assert got["n"] == n * n and got["trace"] == pytest.approx(np.arange(n).var(ddof=1) / 4)
