@@ -260,3 +260,21 @@ def test_donor_windows_carry_their_frames(spark):
     every = spark.range(100).withColumnRenamed("id", "member")
     plan = simulate.donors(every, every.where("member % 5 <> 0"))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
+
+
+def test_gies_without_a_count_runs_until_it_settles(problem):
+    got = da.gies(problem[0], max_iter=None)
+    assert got.why in ("the misfit settled", "no step lowers the misfit") and got.trace[-1]["iteration"] > 2
+    if got.why == "the misfit settled":
+        kept = [t["misfit"] for t in got.trace if t["accepted"]]
+        assert abs(1 - kept[-1] / kept[-2]) < 0.01
+
+
+def test_gies_query_has_no_count_of_iterations(monkeypatch, spark, sf):
+    from murmur import queries
+
+    seen = []
+    monkeypatch.setattr(queries.assimilation, "gies", lambda problem, **more: seen.append(more) or da.Result(problem.state))
+    monkeypatch.setattr(queries, "_each_label", lambda spark, sf, run: run(0))
+    queries.gies_rlmmac(spark, sf)
+    assert seen == [{"max_iter": None}]
